@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm import packing, tokens
+from symweave.llm import garbling, packing, tokens
 from symweave.tables import table
 
 
@@ -26,7 +26,20 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p7_packs(spark, folder), table(spark, folder, "pack_budgets"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_packs, p7_fill)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbling.garbled_texts(table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Each garbled text with its chains, its original as far as it can be restored, and whether all of it could."""
+    found = garbling.garbled_texts(table(spark, folder, "documents"), with_text=True)
+    return found.selectExpr(
+        "doc_id", "array_sort(array_distinct(transform(stretches, s -> array_join(s.chain, ' ')))) AS chains",
+        "size(stretches) AS n_stretches", "forall(stretches, s -> s.original IS NOT NULL) AS complete", "restored AS text",
+    )
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_packs, p7_fill, p8_found, p8_restored)}
 
 SQL = {
     "p6_decoded": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
