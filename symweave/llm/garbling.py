@@ -154,9 +154,9 @@ class Model:
 
 
 def _is_word(text: str, original: str) -> bool:
-    """Whether single characters were mixed up within a word: of three letters at least, none of them a space now."""
+    """Whether single characters were mixed up within a word: of two letters at least, none of them a space now."""
     changed = [(a, b) for a, b in zip(text, original) if a != b]
-    return sum(c.isalpha() for c in original) > 2 and (len(text) != len(original) or all(b.isalpha() and not a.isspace() for a, b in changed))
+    return sum(c.isalpha() for c in original) > 1 and (len(text) != len(original) or all(b.isalpha() and not a.isspace() for a, b in changed))
 
 
 def _utf8_inside(text: str) -> bool:
