@@ -196,7 +196,11 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_stretches: i
     model that finds nothing but lost characters.
     """
     spark = docs.sparkSession
-    some = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_texts)
+    # A bounded sample: ids are drawn by their hash, about twice as many as are taken, so that no task gathers texts.
+    n = docs.count()
+    share = min(1.0, 4 * sample_texts / max(n, 1))
+    drawn = docs.where((F.xxhash64("doc_id") / 2.0**63 < 2 * share - 1) & F.col("text").rlike(r"[^\x00-\x7F]"))
+    some = drawn.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_texts)
     parts = some.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(STRETCH), F.lit(0)))).alias("stretch"))
     top = parts.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.xxhash64("stretch")).limit(sample_stretches).collect()
     known = chains()

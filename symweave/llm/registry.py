@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm import garbling, packing, tokens
+from symweave.llm import garbling, packing, sources, tokens
 from symweave.tables import table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    files = sources.source_files(table(spark, folder, "documents"), table(spark, folder, "file_extensions"))
+    return sources.checked_files(files).where("NOT valid").select("doc_id")
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    names = ("documents", "file_extensions", "analyzer_diagnostics", "analysis_summaries")
+    return sources.invalid_rates(*(table(spark, folder, n) for n in names))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"))
 
@@ -39,7 +49,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_decoded, p7_packs, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_rates, p6_ids, p6_decoded, p7_packs, p7_fill, p8_found, p8_restored)}
 
 SQL = {
     "p6_decoded": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
