@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import sys
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage, in the shared folder, so that lost executors lose nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless they see it where it lies."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    seen = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.applicationId in _SHIPPED or root in seen or context.master.startswith("local[") and Path.cwd() == root:
+        return
+    _SHIPPED.add(context.applicationId)
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-package-"), "symweave"), "zip", root, "symweave")
+    path = list(sys.path)
+    context.addPyFile(archive)
+    sys.path[:] = path
