@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.llm import garbling, packing, sources, tokens
+from symweave.llm import garbling, packing, percentiles, sources, tokens
 from symweave.tables import table
 
 
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    return percentiles.percentiles(table(spark, folder, "performance_runs"))
+
+
+def p1_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily sketches, from which any further combination can be merged."""
+    return percentiles.daily_sketches(table(spark, folder, "performance_runs"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     files = sources.source_files(table(spark, folder, "documents"), table(spark, folder, "file_extensions"))
     return sources.checked_files(files).where("NOT valid").select("doc_id")
@@ -49,7 +58,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_rates, p6_ids, p6_decoded, p7_packs, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_sketches, p5_found, p5_rates, p6_ids, p6_decoded, p7_packs, p7_fill, p8_found, p8_restored)}
 
 SQL = {
     "p6_decoded": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
