@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symweave.operators import references, snapshots
+from symweave.operators import hierarchy, references, snapshots
 from symweave.tables import table
 
 
@@ -27,7 +27,21 @@ def p3_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("project_id", "stable_id", "first", "last", "prior", "following")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_intervals)}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.cyclic_nodes(table(spark, folder, "synthetic_edges"))
+
+
+def p4_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node's place; the path as one text."""
+    found = hierarchy.hierarchies(table(spark, folder, "synthetic_edges"))
+    return found.selectExpr("project", "stable_id", "root", "depth", "array_join(path, ' > ') AS path", "entry", "exit", "n_descendants")
+
+
+def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.descendants(hierarchy.hierarchies(table(spark, folder, "synthetic_edges")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_intervals, p4_found, p4_hierarchy, p4_descendants)}
 
 _ORPHANS = """
   refs AS (
@@ -58,7 +72,29 @@ _STATES = """
     JOIN complete c USING (project_id, generation)
   )"""
 
+_TREES = """
+  links AS (
+    SELECT DISTINCT project, source_stable_id AS parent, target_stable_id AS child FROM synthetic_edges
+    WHERE upper(trim(kind)) = 'DECLARES' AND project IS NOT NULL AND source_stable_id IS NOT NULL AND target_stable_id IS NOT NULL
+  ),
+  names AS (SELECT project, parent AS stable_id FROM links UNION SELECT project, child FROM links),
+  placed AS (
+    SELECT n.project, n.stable_id, n.stable_id AS root, 0::BIGINT AS depth, [n.stable_id] AS path, [left(md5(n.stable_id), 2) || n.stable_id] AS place
+    FROM names n WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.project = n.project AND l.child = n.stable_id)
+    UNION ALL
+    SELECT p.project, l.child, p.root, p.depth + 1, list_append(p.path, l.child), list_append(p.place, left(md5(l.child), 2) || l.child)
+    FROM placed p JOIN links l ON l.project = p.project AND l.parent = p.stable_id
+  ),
+  pairs AS (SELECT project, stable_id AS descendant, depth, unnest(path) AS ancestor, generate_subscripts(path, 1) - 1 AS nth FROM placed)"""
+
 SQL = {
+    "p4_found": f"WITH RECURSIVE {_TREES} SELECT project, stable_id FROM names EXCEPT SELECT project, stable_id FROM placed",
+    "p4_hierarchy": f"""WITH RECURSIVE {_TREES},
+        sizes AS (SELECT project, ancestor, count(*) - 1 AS n FROM pairs GROUP BY ALL),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY project, root ORDER BY place) - 1 AS nth FROM placed)
+        SELECT o.project, o.stable_id, root, depth, array_to_string(path, ' > ') AS path, 2 * nth - depth AS entry, 2 * nth - depth + 2 * n + 1 AS exit, n AS n_descendants
+        FROM ordered o JOIN sizes s ON s.project = o.project AND s.ancestor = o.stable_id""",
+    "p4_descendants": f"WITH RECURSIVE {_TREES} SELECT project, ancestor, descendant, depth - nth AS distance FROM pairs WHERE nth < depth",
     "p2_found": f"WITH {_ORPHANS} SELECT edge_id, side FROM orphans",
     "p2_counts": f"""WITH {_ORPHANS}
         SELECT r.project, r.side, CAST(CAST(r.loaded_at AS DATE) AS VARCHAR) AS day, count(*) AS n_references,
