@@ -65,17 +65,14 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, heavy_share: float = H
     checked = marked.where("heavy").drop("heavy").unionByName(light)
 
     earlier = F.array_max(F.transform(F.filter("periods", lambda p: p.day < F.col("day")), lambda p: p.ends))
-    same_day = F.exists("periods", lambda p: p.day == F.col("day"))
-    open_rows = checked.where(~F.coalesce(earlier > F.col("at"), F.lit(False))).withColumn("maybe", F.coalesce(same_day, F.lit(False))).drop("periods")
+    same_day = F.coalesce(F.exists("periods", lambda p: p.day == F.col("day")), F.lit(False))
+    open_rows = checked.where(~F.coalesce(earlier > F.col("at"), F.lit(False))).withColumn("maybe", same_day).drop("periods")
     # Only references in the very period in which a version of their key began need the versions themselves.
     begun = versions.groupBy(*key, "day", "begins").agg(F.max("ends").alias("ends"))
-    within = open_rows.where("maybe").alias("r").join(
-        begun.alias("v"),
-        (F.col("r.project") == F.col("v.project")) & (F.col("r.ref") == F.col("v.ref")) & (F.col("r.day") == F.col("v.day"))
-        & (F.col("v.begins") <= F.col("r.at")) & (F.col("v.ends") > F.col("r.at")),
-        "left_anti",
-    )
-    return open_rows.where("NOT maybe").unionByName(within).drop("maybe")
+    r, v = open_rows.alias("r"), begun.alias("v")
+    same_key = (F.col("r.project") == F.col("v.project")) & (F.col("r.ref") == F.col("v.ref")) & (F.col("r.day") == F.col("v.day"))
+    covered = F.col("r.maybe") & (F.col("v.begins") <= F.col("r.at")) & (F.col("v.ends") > F.col("r.at"))
+    return r.join(v, same_key & covered, "left_anti").drop("maybe")
 
 
 def orphan_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
