@@ -61,14 +61,15 @@ def forest(links: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> Forest:
     by = lambda end: nodes.select("project", F.col("stable_id").alias(end), F.col("id").alias(f"{end}_id"))
     arcs = cut(links.join(by("parent"), ["project", "parent"]).join(by("child"), ["project", "child"]).select(F.col("parent_id").alias("parent"), F.col("child_id").alias("child")))
     rest, whole = _peel(arcs, "child", peel_rounds)
+    if not whole and rest.groupBy("child").count().where("count > 1").head(1):
+        rest, whole = _peel(rest, "child", 1 << 20)  # several parents: no single list leads upwards
     if not whole:
-        # Higher trees: what reaches no node without a parent, along any parent, is on or below a cycle.
-        first = rest.groupBy("child").agg(F.min("parent").alias("previous")).withColumnRenamed("child", "id")
+        # Higher trees: what reaches no node without a parent is on or below a cycle.
+        first = rest.select(F.col("child").alias("id"), F.col("parent").alias("previous"))
         ends = rest.select(F.col("parent").alias("id")).distinct().join(first.select("id"), "id", "left_anti").withColumn("previous", F.lit(None).cast("bigint"))
         ranked = rank_lists(first.unionByName(ends), [])
-        ring = cut(ranked.where("head IS NULL").select("id"))
-        inside = rest.join(ring.withColumnRenamed("id", "child"), "child", "left_semi").join(ring.withColumnRenamed("id", "parent"), "parent", "left_semi")
-        rest, _ = _peel(cut(inside.select("parent", "child")), "child", 1 << 20)
+        ring = cut(ranked.where("head IS NULL").select(F.col("id").alias("child")))
+        rest, _ = _peel(cut(rest.join(ring, "child", "left_semi").select("parent", "child")), "child", 1 << 20)
     # With one parent for each node only cycles are left; with more, also nodes above them, which go from the other side.
     rest, _ = _peel(rest, "parent", 1 << 20) if rest.join(rest.select(F.col("child").alias("parent")), "parent", "left_anti").head(1) else (rest, True)
     return Forest(nodes, arcs, rest.select(F.col("child").alias("id")).distinct())
