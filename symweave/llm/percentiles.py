@@ -99,9 +99,9 @@ _SCHEMA = "fixture string, day date, metric string, n bigint, levels array<array
 
 def _rows(keys: list[tuple], sketches: list[tuple[Levels, list[int]]]) -> pd.DataFrame:
     frame = pd.DataFrame(keys, columns=_KEYS, dtype=object)
-    frame["n"] = [sum(len(v) << h for h, v in enumerate(levels)) for levels, _ in sketches]
-    frame["levels"] = [[v.tolist() for v in levels] for levels, _ in sketches]
-    frame["counts"] = [list(c) for _, c in sketches]
+    frame["n"] = pd.Series([sum(len(v) << h for h, v in enumerate(levels)) for levels, _ in sketches], dtype="int64")
+    frame["levels"] = pd.Series([[v.tolist() for v in levels] for levels, _ in sketches], dtype=object)
+    frame["counts"] = pd.Series([list(c) for _, c in sketches], dtype=object)
     return frame
 
 

@@ -21,7 +21,11 @@ _OPERATORS = {
     "-": "->", "C": "::", "V": "...", '"': "\x02 \x03",
 }
 CLASSES = {w: c for table in (_WORDS, _OPERATORS) for c, ws in table.items() for w in ws.split(" ")} | {c: c for c in "=*&|@?:,;.<>()[]{}"}
-_NUMBER = re.compile(r"(?:0[xX][\da-fA-F](?:[\da-fA-F_]*[\da-fA-F])?[lL]?|0[xX][\da-fA-F_]*\.?[\da-fA-F_]*[pP][+-]?\d+[fFdD]?|0[bB][01](?:[01_]*[01])?[lL]?|0[0-7_]*[lL]?|[1-9](?:[\d_]*\d)?[lL]?|(?:\d(?:[\d_]*\d)?\.?(?:\d(?:[\d_]*\d)?)?|\.\d(?:[\d_]*\d)?)(?:[eE][+-]?\d+)?[fFdD]?)")
+_DIGITS = r"\d(?:[\d_]*\d)?"
+_NUMBER = re.compile(
+    r"0[xX][\da-fA-F](?:[\da-fA-F_]*[\da-fA-F])?[lL]?|0[xX][\da-fA-F_]*\.?[\da-fA-F_]*[pP][+-]?\d+[fFdD]?|0[bB][01](?:[01_]*[01])?[lL]?|0[0-7_]*[lL]?|[1-9](?:[\d_]*\d)?[lL]?"
+    rf"|(?:{_DIGITS}\.(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?[fFdD]?|{_DIGITS}(?:[eE][+-]?{_DIGITS}[fFdD]?|[fFdD])"
+)
 TOKEN = re.compile(r"[ \t\f\r\n]*(\d\w*(?:\.\w*)?(?:(?<=[\d_.][eEpP])[+-]\w+)?|[\w$€¢-¥]+|\.\d\w*(?:(?<=\d[eE])[+-]\w+)?|>>>?=|<<=?|->|::|\.\.\.|\+\+|--|&&|\|\||[-+*/%&|^=!<>]=|[^ \t\f\r\n])")
 _NUMERIC = re.compile(r"\.?\d")
 IDENT = "irxyw"
