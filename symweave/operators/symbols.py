@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,3 +112,34 @@ def merged_nodes(nodes: DataFrame) -> DataFrame:
     latest = member.groupBy(*key, "member").agg(F.max_by("value", "loaded_at").alias("value"))
     members = latest.groupBy(*key).agg(F.array_sort(F.collect_list(F.concat_ws("=", "member", "value"))).alias("metadata"))
     return base.join(members, key, "left").select(*key, "qualified_name", "simple_name", "l.file_path", "l.start_line", "l.end_line", F.array_join("unresolved", ",").alias("unresolved"), F.coalesce(F.array_join("metadata", ","), F.lit("")).alias("metadata"), "n_rows")
+
+
+def flattened(rows: DataFrame, key: list[str], column: str) -> DataFrame:
+    """(key, path, value) of each scalar in a column of JSON text; members by name, array elements as [].
+
+    Text that is no JSON, and empty objects and arrays, give no rows; null is the text null.
+    """
+
+    def walk(value, path: str):
+        if isinstance(value, dict):
+            for name, inner in value.items():
+                yield from walk(inner, f"{path}.{name}" if path else name)
+        elif isinstance(value, list):
+            for inner in value:
+                yield from walk(inner, f"{path}[]")
+        else:
+            yield path, value if isinstance(value, str) else json.dumps(value)
+
+    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for *own, text in zip(*(b[k] for k in key), b[column]):
+                try:
+                    found += [(*own, path, value) for path, value in walk(json.loads(text), "")]
+                except (TypeError, ValueError):
+                    continue
+            yield pd.DataFrame(found, columns=[*key, "path", "value"])
+
+    chosen = rows.select(*key, column)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name != column)
+    return chosen.mapInPandas(flatten, f"{fields}, path string, value string")

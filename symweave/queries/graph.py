@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symweave.functions import names
 from symweave.operators import counts, evidence, symbols, traverse, validate
 from symweave.operators.snapshots import complete_generations
-from symweave.plans import graph
+from symweave.plans import graph, packs
 from symweave.tables import table
 
 QUERIES = {}
@@ -376,3 +376,52 @@ def injection_candidates(spark: SparkSession, folder: str) -> DataFrame:
 @_query("SELECT project, source AS node, count(DISTINCT target) AS n_next FROM e WHERE kind = 'CALLS' GROUP BY ALL HAVING count(DISTINCT target) > 1")
 def branch_points(spark: SparkSession, folder: str) -> DataFrame:
     return traverse.branch_points(traverse.steps(_edges(spark, folder), ["CALLS"]))
+
+
+@_query(_WITH + _PACKAGES + """SELECT project, 'symbols' AS section, kind AS item, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT project, 'edges', kind, count(*) FROM e GROUP BY ALL
+    UNION ALL SELECT project, 'areas', package, n_symbols FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n_symbols DESC, n_internal DESC, package) AS nth FROM metrics)
+      WHERE nth <= 12 AND NOT (package LIKE 'java.%' OR package LIKE 'javax.%' OR package LIKE 'jakarta.%' OR package LIKE 'org.springframework.%')
+    UNION ALL SELECT project, 'modules', module_name, count(*) FROM n WHERE module_name IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT project, 'source sets', json_extract_string(metadata, '$.source_set'), count(*) FROM n WHERE json_extract_string(metadata, '$.source_set') IS NOT NULL GROUP BY ALL""")
+def project_map(spark: SparkSession, folder: str) -> DataFrame:
+    return packs.project_map(table(spark, folder, "synthetic_nodes"), table(spark, folder, "synthetic_edges"))
+
+
+@_query("""WITH g AS (SELECT DISTINCT project_id, generation, state, partial, CAST(json_extract_string(summary_json, '$.nodes_emitted') AS BIGINT) AS n_emitted FROM project_generations),
+    d AS (SELECT project_id, max(generation) FILTER (state IN ('READY', 'STALE')) AS a FROM g GROUP BY ALL), f AS (SELECT g.project_id, count(*) AS k FROM g JOIN d USING (project_id) WHERE state = 'FAILED' AND coalesce(generation > a, true) GROUP BY ALL),
+    t AS (SELECT project_id, generation, count(DISTINCT stable_id) AS n_nodes FROM nodes GROUP BY ALL)
+    SELECT p.project_id, p.display_name, p.language, d.a AS active_generation, g.state = 'STALE' AS stale, CASE WHEN d.project_id IS NOT NULL THEN coalesce(f.k, 0) END AS n_failed_since, g.n_emitted,
+      CASE WHEN g.generation IS NOT NULL THEN coalesce(t.n_nodes, 0) END AS n_nodes, g.n_emitted = coalesce(t.n_nodes, 0) AS agrees
+    FROM projects p LEFT JOIN d USING (project_id) LEFT JOIN f USING (project_id) LEFT JOIN g ON g.project_id = p.project_id AND g.generation = d.a LEFT JOIN t ON t.project_id = p.project_id AND t.generation = d.a""")
+def index_status(spark: SparkSession, folder: str) -> DataFrame:
+    return packs.index_status(*(table(spark, folder, n) for n in ("projects", "project_generations", "nodes")))
+
+
+@_query("""WITH j AS (SELECT DISTINCT project, stable_id, metadata FROM synthetic_nodes), t AS (SELECT project, stable_id, unnest(json_keys(metadata)) AS path, metadata FROM j)
+    SELECT project, stable_id, path, json_extract_string(metadata, '$.' || path) AS value FROM t""")
+def flattened_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    return symbols.flattened(table(spark, folder, "synthetic_nodes").select("project", "stable_id", "metadata").distinct(), ["project", "stable_id"], "metadata")
+
+
+@_query(_WITH + """, shown AS (SELECT project, stable_id FROM n WHERE file_path IS NOT NULL), c AS (SELECT DISTINCT e.project, e.target AS source, e.source AS target FROM e JOIN shown s ON s.project = e.project AND s.stable_id = e.source WHERE e.kind IN ('INJECTS', 'SELECTED_BEAN', 'BEAN_CANDIDATE', 'CALLS')),
+    starts AS (SELECT DISTINCT e.project, e.target AS stable_id FROM e WHERE e.kind = 'INJECTS'),
+    p AS (SELECT project, stable_id AS start, stable_id AS node, 0 AS depth, [stable_id] AS path FROM starts
+      UNION ALL SELECT p.project, p.start, c.target, p.depth + 1, list_append(p.path, c.target) FROM p JOIN c ON c.project = p.project AND c.source = p.node WHERE p.depth < 2 AND NOT list_contains(p.path, c.target))
+    SELECT project, start, node, depth, array_to_string(path, ' > ') AS path FROM p""")
+def trace_inbound_suppressed(spark: SparkSession, folder: str) -> DataFrame:
+    """Who leads to an injected type within two steps, symbols without a file hidden."""
+    edges = table(spark, folder, "synthetic_edges")
+    starts = _edges(spark, folder).where("kind = 'INJECTS'").select("project", F.col("target").alias("stable_id")).distinct()
+    found = packs.trace(table(spark, folder, "synthetic_nodes"), edges, starts, ["CALLS"], ["dependencies"], inbound=True, depth=2)
+    return found.select("project", "start", "node", "depth", F.array_join("path", " > ").alias("path"))
+
+
+@_query("""WITH v AS (SELECT count(*) FILTER (upper(mode) = 'SAFE') AS n_safe, count(*) FILTER (upper(mode) = 'TRUSTED') AS n_trusted, shape, count(*) FILTER (total_index_ms >= parsing_ms AND parsing_ms >= 0) AS n_consistent, count(*) AS n FROM performance_runs GROUP BY shape)
+    SELECT shape, n, n_safe, n_trusted, n_consistent, n_consistent * 100 >= n * 60 AS mostly_consistent FROM v""")
+def target_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether at least 60 of 100 runs of a shape have timings that add up."""
+    runs = table(spark, folder, "performance_runs").groupBy("shape").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.upper("mode") == "SAFE").alias("n_safe"), F.count_if(F.upper("mode") == "TRUSTED").alias("n_trusted"),
+        F.count_if(F.expr("total_index_ms >= parsing_ms AND parsing_ms >= 0")).alias("n_consistent"),
+    )
+    return runs.withColumn("mostly_consistent", F.col("n_consistent") * 100 >= F.col("n") * 60)
