@@ -26,7 +26,7 @@ def with_evidence_id(places: DataFrame, generation: int = 1) -> DataFrame:
 def first_occurrences(occurrences: DataFrame, limit: int) -> DataFrame:
     """The first rows of evidence of each edge, in order of loading."""
     w = Window.partitionBy("project", "source", "target", "kind").orderBy("edge_id", "nth")
-    return occurrences.withColumn("ordinal", F.row_number().over(w) - 1).where(F.col("ordinal") < limit)
+    return occurrences.withColumn("ordinal", F.row_number().over(w)).where(F.col("ordinal") <= limit).withColumn("ordinal", F.col("ordinal") - 1)
 
 
 def overlapping_symbols(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
