@@ -46,7 +46,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return garbling.garbled_texts(table(spark, folder, "documents")).select("doc_id")
+    return garbling.garbled_texts(table(spark, folder, "documents")).select("doc_id").distinct()
 
 
 def p8_restored(spark: SparkSession, folder: str) -> DataFrame:

@@ -51,7 +51,7 @@ def source_files(docs: DataFrame, extensions: DataFrame) -> DataFrame:
 
 
 def checked_files(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, valid) for each row of (doc_id, language, text).
+    """(doc_id, valid) for each doc_id of rows (doc_id, language, text); rows that are given twice count once.
 
     Empty and blank Java, Rust and TOML files are valid, such JSON files aren't. Texts of any length are looked at
     whole; only a single line is never cut.
@@ -73,7 +73,8 @@ def checked_files(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
         for b in batches:
             valid = []
             for language, parts in zip(b["language"].tolist(), b["chunks"].tolist()):
-                folded = lexing.fold([([(r["entry"], r["exit"], r["tokens"], r["brackets"]) for r in p["states"]], p["deeper"]) for p in parts], language == "rust")
+                once = {p["at"]: ([(r["entry"], r["exit"], r["tokens"], r["brackets"]) for r in p["states"]], p["deeper"]) for p in parts}  # repeated rows
+                folded = lexing.fold(list(once.values()), language == "rust")
                 valid.append(parses(folded, language))
             yield b[["doc_id"]].assign(valid=valid)
 

@@ -92,10 +92,10 @@ def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = FOL
     """(doc_id, ids) for each row of docs, ids of a word-level tokenizer without special tokens.
 
     Null and empty texts have an empty list; strings of special tokens within a text are ordinary text; texts of any
-    length are encoded whole. Other columns of docs are ignored.
+    length are encoded whole; repeated rows come out as often as they are there. Other columns of docs are ignored.
     """
-    docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
     table = cut(word_table(docs, name, folder))
     head, whole = table, table.count() <= max_words and not table.where(F.octet_length("word") > MAX_WORD_BYTES).head(1)
     if not whole:
@@ -111,18 +111,18 @@ def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = FOL
             at = pc.fill_null(pc.index_in(coded.dictionary, value_set=vocabulary), len(vocabulary)).to_numpy()[coded.indices.to_numpy()]
             ends = np.concatenate(([0], np.cumsum(lengths[at])))[offsets]
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_gather(starts[at], lengths[at], flat), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), ids], ["doc_id", "h", "ids"])
 
-    split = docs.select("doc_id", words("text").alias("words"))
-    known_ids = split.mapInArrow(gather, "doc_id bigint, ids array<int>")
+    split = docs.select("doc_id", (F.lit(0).cast("bigint") if whole else F.xxhash64("text")).alias("h"), words("text").alias("words"))
+    known_ids = split.mapInArrow(gather, "doc_id bigint, h bigint, ids array<int>")
     if whole:
-        return known_ids
-    occurrence = split.select("doc_id", F.posexplode("words").alias("at", "word"))
-    rare = occurrence.join(F.broadcast(head.select("word")), "word", "left_anti").join(table.select("word", F.col("ids").alias("piece")), "word")
-    fills = rare.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x.piece).alias("fills"))
+        return known_ids.drop("h")
+    occurrence = split.select("doc_id", "h", F.posexplode("words").alias("at", "word"))
+    rare = occurrence.join(F.broadcast(head.select("word")), "word", "left_anti").distinct().join(table.select("word", F.col("ids").alias("piece")), "word")
+    fills = rare.groupBy("doc_id", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x.piece).alias("fills"))
     gap = F.transform("ids", lambda x, i: F.struct(x.alias("id"), i.alias("i")))
     gaps = F.transform(F.filter(gap, lambda x: x.id == -1), lambda x: x.i)
-    filled = known_ids.join(fills, "doc_id", "left").withColumn("gaps", gaps)
+    filled = known_ids.join(fills, ["doc_id", "h"], "left").withColumn("gaps", gaps)
     # Each stretch between two gaps, and after each gap the ids that belong into it.
     parts = F.transform(
         F.arrays_zip(F.concat(F.array(F.lit(-1)), "gaps").alias("a"), F.concat("gaps", F.array(F.size("ids"))).alias("b"), F.concat("fills", F.array(F.array().cast("array<int>"))).alias("f")),

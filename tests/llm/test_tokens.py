@@ -33,6 +33,13 @@ def test_same_ids_as_the_library_and_back(spark, most):
     assert [r.text for r in texts] == [t or "" for t in TEXTS + TEXTS]
 
 
+def test_repeated_rows_and_ids(spark):
+    twice = spark.createDataFrame([(1, "a rare word"), (1, "a rare word"), (1, "another rarer text"), (2, None)], "doc_id long, text string")
+    for most in (tokens.MAX_WORDS, 2):
+        got = sorted(list(r.ids) for r in tokens.encode_corpus(twice, max_words=most).collect())
+        assert got == sorted(library(["a rare word"] * 2 + ["another rarer text", None]))
+
+
 def test_empty_table_and_unknown_ids(spark):
     assert tokens.encode_corpus(documents(spark, [])).collect() == []
     odd = spark.createDataFrame([(1, [60000]), (2, None), (3, [])], "doc_id long, ids array<int>")
