@@ -10,7 +10,7 @@ from symweave.tables import table
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     edges, nodes = table(spark, folder, "synthetic_edges"), table(spark, folder, "synthetic_nodes")
-    return references.orphan_references(edges, nodes).select("edge_id", "side")
+    return references.orphan_references(edges, nodes).select("edge_id", "side").distinct()
 
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
