@@ -34,7 +34,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     """The texts, read back from their ids, in the form of their length and hash."""
     decoded = tokens.decode_corpus(p6_ids(spark, folder), tokens.piece_table(spark))
-    return decoded.selectExpr("doc_id", "char_length(text) AS n_chars", "md5(text) AS digest")
+    return decoded.selectExpr("doc_id", "CAST(char_length(text) AS BIGINT) AS n_chars", "md5(text) AS digest")
 
 
 def p7_packs(spark: SparkSession, folder: str) -> DataFrame:

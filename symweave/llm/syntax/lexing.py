@@ -35,6 +35,7 @@ _STARTS = {
     ),
 }
 _ENDS = {"T": re.compile(r'(?:[^"\\]|\\[\s\S]|"(?!""))*+"{3}(?:"{0,2}(?!"))?'), "L": re.compile(r"(?:[^']|'(?!''))*+'{3,5}"), "S": re.compile(r'(?:[^"\\]|\\[\s\S])*+"')}
+_HEAD = re.compile(r"^\ufeff?(?:#!(?!\s*\[)[^\n]*)?")
 _NEST = re.compile(r"/\*|\*/")
 _MARKS = re.compile("[\x01-\x08]")
 _BRACKETS, _PAIRS = re.compile(r"[^()\[\]{}]+"), re.compile(r"\(\)|\[\]|\{\}")
@@ -139,6 +140,8 @@ def lost_depth(text: str) -> int:
 def chunk_map(text: str, language: str, first: bool) -> list[tuple[str, str, str, str]]:
     """(entry state, exit state, tokens, unmatched brackets) of a chunk; of a file's first chunk only from plain code."""
     rows = []
+    if first and language == "rust":
+        text = _HEAD.sub("", text, count=1)
     for entry in ["N"] if first else entries(text, language):
         tokens, end = lex(text, language, entry)
         rows.append((entry, end, tokens, brackets(tokens)))

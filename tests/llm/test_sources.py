@@ -32,7 +32,7 @@ fn main() -> Result<(), Box<dyn std::error::Error>> { let mut y: Vec<_> = Vec::<
 line"; /* a /* nested { */ b */ let lt: &'static str = "x"; Ok(()) }
 '''
 VALID = {
-    "java": [JAVA, "", "  \n", "// only a comment", "/* { */", ";", "package x;"], "rust": [RUST, "", "//! doc\n", "fn f() { if x { return 1 } 5 }"],
+    "java": [JAVA, "", "  \n", "// only a comment", "/* { */", ";", "package x;"], "rust": [RUST, "\ufeff#!/usr/bin/env run\nfn f() {}", "#![a]", "", "//! doc\n", "fn f() { if x { return 1 } 5 }"],
     "json": ['{"a": [1, -2.5e3, true, null, "\\u00e9\\n"], "b": {}}', "[]", ' "s" ', "0", '{"a":1,"a":2}'],
     "toml": ["", "# c\n", 'a = 1\nb.c = "x"\n"q r" = \'l\'\n[t]\n[[u.v]]\nd = 1979-05-27T07:32:00Z\nf = [1, 2, # c\n [3.0, "]"],\n]\ni = { a = 1, b = [true] }\n', 'm = """\nx = [\n"""\nl = \'\'\'\n[\n\'\'\'\n', "3.14 = inf\n"],
 }
