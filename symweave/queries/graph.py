@@ -31,11 +31,13 @@ _WITH = """WITH RECURSIVE n AS (
   ) """
 
 
-def _query(sql: str | None = None):
+def _query(sql: str, *integers: str):
+    """Registers a query with its SQL, of which the named columns are 32-bit integers."""
+
     def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql if sql.lstrip().startswith("WITH") else _WITH + sql
+        whole = sql if sql.lstrip().startswith("WITH") else _WITH + sql
+        casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in integers)
+        QUERIES[f.__name__], SQL[f.__name__] = f, f"SELECT * REPLACE ({casts}) FROM ({whole})" if casts else whole
         return f
 
     return register
@@ -93,7 +95,7 @@ def package_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query(_WITH + _PACKAGES + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n_symbols DESC, n_internal DESC, package) AS nth FROM metrics)
-    WHERE nth <= 12 AND NOT (package LIKE 'java.%' OR package LIKE 'javax.%' OR package LIKE 'jakarta.%' OR package LIKE 'org.springframework.%')""")
+    WHERE nth <= 12 AND NOT (package LIKE 'java.%' OR package LIKE 'javax.%' OR package LIKE 'jakarta.%' OR package LIKE 'org.springframework.%')""", "nth")
 def application_areas(spark: SparkSession, folder: str) -> DataFrame:
     return counts.application_areas(package_metrics(spark, folder))
 
@@ -112,12 +114,12 @@ def test_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return counts.test_symbols(_nodes(spark, folder))
 
 
-@_query("""SELECT project, source, target, kind, nth FROM (SELECT *, row_number() OVER (PARTITION BY project, source ORDER BY kind, source, target) AS nth FROM e) WHERE nth <= 3 AND kind = 'CALLS'""")
+@_query("""SELECT project, source, target, kind, nth FROM (SELECT *, row_number() OVER (PARTITION BY project, source ORDER BY kind, source, target) AS nth FROM e) WHERE nth <= 3 AND kind = 'CALLS'""", "nth")
 def neighbours_cut_first(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.neighbours(_edges(spark, folder), "source", 3, ["CALLS"])
 
 
-@_query("""SELECT project, source, target, kind, nth FROM (SELECT *, row_number() OVER (PARTITION BY project, target ORDER BY kind, source, target) AS nth FROM e WHERE kind = 'CALLS') WHERE nth <= 3""")
+@_query("""SELECT project, source, target, kind, nth FROM (SELECT *, row_number() OVER (PARTITION BY project, target ORDER BY kind, source, target) AS nth FROM e WHERE kind = 'CALLS') WHERE nth <= 3""", "nth")
 def neighbours_filtered_first(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.neighbours(_edges(spark, folder), "target", 3, ["CALLS"], limit_first=False)
 
@@ -140,7 +142,7 @@ _TOKENS = "trim(regexp_replace(lower(regexp_replace({0}, '([a-z])([A-Z])', '\\1
       WHEN starts_with(qt, 'harbor router') OR starts_with(st, 'harbor router') OR list_contains(string_split(qt, ' '), 'harbor router') OR list_contains(string_split(st, ' '), 'harbor router') THEN 350
       WHEN contains(ql, 'harborrouter') OR contains(qt, 'harbor router') THEN 200 ELSE 0 END AS lexical FROM t),
     s AS (SELECT *, lexical + CASE WHEN file_path IS NOT NULL THEN 80 ELSE 0 END + CASE WHEN kind = 'METHOD' AND json_extract_string(metadata, '$.has_body') = 'true' THEN 10 ELSE 0 END AS rank FROM r WHERE lexical > 0)
-    SELECT project, stable_id, kind, rank, nth FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY rank DESC, lower(qualified_name), stable_id) AS nth FROM s) WHERE nth <= 10""")
+    SELECT project, stable_id, kind, rank, nth FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY rank DESC, lower(qualified_name), stable_id) AS nth FROM s) WHERE nth <= 10""", "nth")
 def search_symbol(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.search(_nodes(spark, folder), "harborRouter")
 
@@ -223,7 +225,7 @@ def evidence_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query("""SELECT project, source, target, kind, edge_id, nth, file_path, start_line, end_line, ordinal FROM (
-    SELECT *, row_number() OVER (PARTITION BY project, source, target, kind ORDER BY edge_id, nth) - 1 AS ordinal FROM o) WHERE ordinal < 2""")
+    SELECT *, row_number() OVER (PARTITION BY project, source, target, kind ORDER BY edge_id, nth) - 1 AS ordinal FROM o) WHERE ordinal < 2""", "nth", "ordinal")
 def first_occurrences(spark: SparkSession, folder: str) -> DataFrame:
     return evidence.first_occurrences(_occurrences(spark, folder), 2)
 
@@ -239,7 +241,7 @@ def evidence_overlap(spark: SparkSession, folder: str) -> DataFrame:
     t AS (SELECT repo, file_path, string_split_regex(regexp_replace(text, '\\r?\\n\\z', ''), '\\r?\\n') AS lines FROM documents WHERE doc_kind = 'source' AND text IS NOT NULL AND text <> ''),
     j AS (SELECT r.*, t.lines, greatest(r.start_line - 2, 1) AS first FROM r JOIN t USING (repo, file_path) WHERE r.start_line <= len(t.lines)),
     x AS (SELECT *, lines[first:end_line + 2] AS part FROM j)
-    SELECT repo, file_path, start_line, end_line, first + generate_subscripts(part, 1) - 1 AS line, unnest(part) AS text FROM x""")
+    SELECT repo, file_path, start_line, end_line, first + generate_subscripts(part, 1) - 1 AS line, unnest(part) AS text FROM x""", "line")
 def evidence_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The lines around each reported parse error, from the documents of the same path."""
     reported = table(spark, folder, "analyzer_diagnostics").where("upper(trim(kind)) LIKE '%PARSE_ERROR'")
