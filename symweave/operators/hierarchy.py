@@ -135,7 +135,7 @@ def _spread(marked: DataFrame, arcs: DataFrame) -> DataFrame:
     while fresh.head(1):
         below = arcs.join(fresh.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
         fresh = cut(below.join(found, "id", "left_anti"))
-        found = cut(found.union(fresh))
+        found = cut(found.union(fresh), bounded=True)
     return marked.drop("in_cycle").join(found.withColumn("in_cycle", F.lit(True)), "id", "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
 
 
@@ -145,7 +145,7 @@ def paths(tour: DataFrame) -> DataFrame:
     while state.where("parent IS NOT NULL").head(1):
         above = state.select(F.col("id").alias("parent"), F.col("parent").alias("next"), F.col("path").alias("upper"))
         longer = state.where("parent IS NOT NULL").join(above, "parent").select("id", F.col("next").alias("parent"), F.concat("upper", "path").alias("path"))
-        state = cut(state.where("parent IS NULL").unionByName(longer))
+        state = cut(state.where("parent IS NULL").unionByName(longer), bounded=True)
     return state.select("id", "path")
 
 

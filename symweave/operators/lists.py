@@ -23,7 +23,7 @@ def rank_lists(elements: DataFrame, weights: list[str]) -> DataFrame:
         jumped = state.where("previous IS NOT NULL").join(before, "previous").select(
             "id", F.col("b_previous").alias("previous"), F.col("b_head").alias("head"), *((F.col(w) + F.col(f"b_{w}")).alias(w) for w in weights)
         )
-        state = cut(state.where("previous IS NULL").unionByName(jumped))
+        state = cut(state.where("previous IS NULL").unionByName(jumped), bounded=True)
         now = state.where("previous IS NOT NULL").count()
         if now == left:
             break

@@ -38,9 +38,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage, in the shared folder, so that lost executors lose nothing."""
+def cut(df: DataFrame, bounded: bool = False) -> DataFrame:
+    """Computes df once and cuts its lineage, in the shared folder, so that lost executors lose nothing.
+
+    bounded keeps to the session's shuffle partitions, for unions that would gain partitions in every round.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    if bounded:
+        df = df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return df.checkpoint(eager=True)
 
 
