@@ -75,30 +75,62 @@ def forest(links: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> Forest:
     return Forest(nodes, arcs, rest.select(F.col("child").alias("id")).distinct())
 
 
-def _tour(tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The Euler tours of (parent, child, name) as lists (id, previous, at, depth).
+def _siblings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with nth, parts) of children (parent, child, name): each one's place among its siblings, from 0.
 
-    Node v enters as 2 v and leaves as 2 v + 1; a leaf is one element for both. Siblings follow each other by a hash
-    prefix of their name, then by name: the prefix splits a parent with any number of children into bounded parts.
+    Siblings follow each other by a hash prefix of their name, then by name: the prefix splits a parent with any
+    number of children into bounded parts, which are put in order afterwards. parts are (parent, n_children).
     """
-    part = tree.withColumn("salt", F.substring(F.md5("name"), 1, 2))
+    salted = rows.withColumn("salt", F.substring(F.md5("name"), 1, 2))
     within = Window.partitionBy("parent", "salt").orderBy("name")
-    inner = tree.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
-    # The element with which a node ends: its leaving, or itself if it is a leaf.
-    ended = part.join(inner, "child", "left").withColumn("end", 2 * F.col("child") + F.when(F.col("inner"), 1).otherwise(0))
-    rows = cut(ended.select("*", F.lag("end").over(within).alias("before"), F.lead("end").over(within).isNull().alias("last")))
-    parts = Window.partitionBy("parent").orderBy("salt")
-    lasts = rows.where("last").select("parent", "salt", F.lag("end").over(parts).alias("part_before"), F.lead("end").over(parts).isNull().alias("final"), F.col("end").alias("part_end"))
-    previous = F.coalesce("before", "part_before", 2 * F.col("parent"))
-    enters = rows.join(lasts, ["parent", "salt"]).select(
-        (2 * F.col("child")).alias("id"), previous.alias("previous"), F.when(F.col("inner"), 1).otherwise(2).alias("at"), F.when(F.col("inner"), 1).otherwise(0).alias("depth")
+    order = Window.partitionBy("parent").orderBy("salt")
+    sizes = salted.groupBy("parent", "salt").agg(F.count(F.lit(1)).alias("n"))
+    offsets = sizes.select("parent", "salt", (F.sum("n").over(order) - F.col("n")).alias("offset"))
+    placed = salted.withColumn("own", F.row_number().over(within) - 1).join(offsets, ["parent", "salt"])
+    return placed.withColumn("nth", F.col("offset") + F.col("own")).drop("salt", "own", "offset"), sizes.groupBy("parent").agg(F.sum("n").alias("n_children"))
+
+
+def _tours(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, root, entry, exit, depth) of every node, from the Euler tours of (parent, child, name).
+
+    The children of a node come leaves first. Leaves need no elements of their own: those of a node only add to its
+    weight, and their places follow from their parent's. A node v with further inner nodes below enters as element
+    2 v and leaves as 2 v + 1; one with leaves alone is the one element 2 v.
+    """
+    parents = tree.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
+    marked = cut(tree.join(parents, "child", "left"))
+    leaves, n_leaves = _siblings(marked.where("inner IS NULL").drop("inner"))
+    branches, n_branches = _siblings(marked.where("inner").drop("inner"))
+    branches = cut(branches)
+    # Each inner node and each root, with the number of its leaves and of its inner children.
+    inner = parents.select(F.col("child").alias("id")).union(nodes.join(tree.select(F.col("child").alias("id")), "id", "left_anti")).distinct()
+    count = lambda df, name: df.select(F.col("parent").alias("id"), F.col("n_children").alias(name))
+    inner = cut(inner.join(count(n_leaves, "n_leaves"), "id", "left").join(count(n_branches, "n_branches"), "id", "left").fillna(0))
+    # The element with which a node ends: its leaving, or its only one.
+    end = (2 * F.col("id") + F.when(F.col("n_branches") > 0, 1).otherwise(0)).alias("end")
+    ended = branches.join(inner.select(F.col("id").alias("child"), end), "child")
+    before = ended.select("parent", (F.col("nth") + 1).alias("nth"), F.col("end").alias("before"))
+    linked = ended.join(before, ["parent", "nth"], "left").select(F.col("child").alias("id"), F.coalesce("before", 2 * F.col("parent")).alias("previous"))
+    whole = F.col("n_branches") == 0
+    entering = inner.join(linked, "id", "left").select(
+        (2 * F.col("id")).alias("id"), "previous", (F.when(whole, 2).otherwise(1) + 2 * F.col("n_leaves")).cast("bigint").alias("at"), F.when(whole, 0).otherwise(1).cast("bigint").alias("depth")
     )
-    leaves = lasts.where("final").select((2 * F.col("parent") + 1).alias("id"), F.col("part_end").alias("previous"), F.lit(1).alias("at"), F.lit(-1).alias("depth"))
-    roots = nodes.join(tree.select(F.col("child").alias("id")), "id", "left_anti").join(inner.withColumnRenamed("child", "id"), "id", "left")
-    firsts = roots.select(
-        (2 * F.col("id")).alias("id"), F.lit(None).cast("bigint").alias("previous"), F.when(F.col("inner"), 1).otherwise(2).alias("at"), F.when(F.col("inner"), 1).otherwise(0).alias("depth")
+    last = ended.join(count(n_branches, "n").select(F.col("id").alias("parent"), (F.col("n") - 1).alias("nth")), ["parent", "nth"])
+    leaving = last.select((2 * F.col("parent") + 1).alias("id"), F.col("end").alias("previous"), F.lit(1).cast("bigint").alias("at"), F.lit(-1).cast("bigint").alias("depth"))
+    ranks = rank_lists(entering.unionByName(leaving), ["at", "depth"])
+
+    even = F.col("id") % 2 == 0
+    spans = ranks.groupBy(F.shiftright("id", 1).alias("id")).agg(
+        F.max(F.when(even, F.shiftright("head", 1))).alias("root"), F.max(F.when(even, F.col("at"))).alias("a"), F.max(F.when(~even, F.col("at"))).alias("b"), F.max(F.when(even, F.col("depth"))).alias("d")
     )
-    return enters.unionByName(leaves).unionByName(firsts).select("id", "previous", F.col("at").cast("bigint"), F.col("depth").cast("bigint"))
+    # The sums count the element itself: what a node enters with, or all of it.
+    own = F.when(whole, 2).otherwise(1) + 2 * F.col("n_leaves")
+    placed = cut(spans.join(inner, "id").select(
+        "id", "root", (F.col("a") - own).alias("entry"), F.when(whole, F.col("a") - 1).otherwise(F.col("b") - 1).alias("exit"), (F.col("d") - F.when(whole, 0).otherwise(1)).alias("depth")
+    ))
+    under = leaves.select("parent", "child", "nth").join(placed.withColumnRenamed("id", "parent"), "parent")
+    first = F.col("entry") + 1 + 2 * F.col("nth")
+    return placed.unionByName(under.select(F.col("child").alias("id"), "root", first.alias("entry"), (first + 1).alias("exit"), (F.col("depth") + 1).alias("depth")))
 
 
 def toured(f: Forest) -> DataFrame:
@@ -108,21 +140,10 @@ def toured(f: Forest) -> DataFrame:
     in_cycle looks at all of them.
     """
     core = cut(f.core)
-    in_core = core.withColumn("core", F.lit(True))
     single = f.arcs.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n"))
     tree = cut(single.join(core.withColumnRenamed("id", "child"), "child", "left_anti").join(f.nodes.select(F.col("id").alias("child"), F.col("stable_id").alias("name")), "child"))
-    ranks = rank_lists(_tour(tree.select("parent", "child", "name"), f.nodes.select("id")), ["at", "depth"])
-    even = F.col("id") % 2 == 0
-    node = F.shiftright("id", 1)
-    spans = ranks.groupBy(node.alias("id")).agg(
-        F.max(F.when(even, F.shiftright("head", 1))).alias("root"), F.max(F.when(even, F.col("at"))).alias("a"), F.max(F.when(~even, F.col("at"))).alias("b"), F.max(F.when(even, F.col("depth"))).alias("d")
-    )
-    # The sums count the element itself: 1 where a node only enters, 2 and no depth where it is a leaf.
-    leaf = F.col("b").isNull()
-    spans = spans.select(
-        "id", "root", (F.col("a") - F.when(leaf, 2).otherwise(1)).alias("entry"), F.when(leaf, F.col("a") - 1).otherwise(F.col("b") - 1).alias("exit"), (F.col("d") - F.when(leaf, 0).otherwise(1)).alias("depth")
-    )
-    marked = spans.join(in_core.withColumnRenamed("id", "root"), "root", "left").withColumn("in_cycle", F.coalesce("core", F.lit(False))).drop("core")
+    spans = _tours(tree.select("parent", "child", "name"), f.nodes.select("id"))
+    marked = spans.join(core.select(F.col("id").alias("root"), F.lit(True).alias("core")), "root", "left").withColumn("in_cycle", F.coalesce("core", F.lit(False))).drop("core")
     if tree.where("n > 1").head(1):
         marked = _spread(marked, f.arcs)
     return f.nodes.join(marked, "id").join(tree.select(F.col("child").alias("id"), "parent"), "id", "left")

@@ -78,12 +78,15 @@ _TREES = """
     WHERE upper(trim(kind)) = 'DECLARES' AND project IS NOT NULL AND source_stable_id IS NOT NULL AND target_stable_id IS NOT NULL
   ),
   names AS (SELECT project, parent AS stable_id FROM links UNION SELECT project, child FROM links),
+  below AS (
+    SELECT l.*, CASE WHEN EXISTS (SELECT 1 FROM links m WHERE m.project = l.project AND m.parent = l.child) THEN '1' ELSE '0' END || left(md5(l.child), 2) || l.child AS place FROM links l
+  ),
   placed AS (
-    SELECT n.project, n.stable_id, n.stable_id AS root, 0::BIGINT AS depth, [n.stable_id] AS path, [left(md5(n.stable_id), 2) || n.stable_id] AS place
+    SELECT n.project, n.stable_id, n.stable_id AS root, 0::BIGINT AS depth, [n.stable_id] AS path, [n.stable_id] AS place
     FROM names n WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.project = n.project AND l.child = n.stable_id)
     UNION ALL
-    SELECT p.project, l.child, p.root, p.depth + 1, list_append(p.path, l.child), list_append(p.place, left(md5(l.child), 2) || l.child)
-    FROM placed p JOIN links l ON l.project = p.project AND l.parent = p.stable_id
+    SELECT p.project, l.child, p.root, p.depth + 1, list_append(p.path, l.child), list_append(p.place, l.place)
+    FROM placed p JOIN below l ON l.project = p.project AND l.parent = p.stable_id
   ),
   pairs AS (SELECT project, stable_id AS descendant, depth, unnest(path) AS ancestor, generate_subscripts(path, 1) - 1 AS nth FROM placed)"""
 
