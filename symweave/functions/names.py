@@ -10,6 +10,7 @@ PLAIN_KINDS = ("project", "crate", "module", "package", "type", "trait", "functi
 VERBS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_ID_BYTES = 1024
+PROJECT_NAMESPACE = "2bbd078153ac4e839e4b87ecad76bf89"
 #: Prefixes of symbols that don't belong to an application, and names of utility methods.
 EXTERNAL = ("java.", "javax.", "jakarta.", "org.springframework.")
 UTILITY = ("toString", "hashCode", "equals", "clone", "finalize", "getClass", "notify", "notifyAll", "wait")
@@ -129,3 +130,10 @@ def fnv1a64(text: Column) -> Column:
 
     done = F.aggregate(codes, start, step)
     return F.lower(F.concat(F.lpad(F.hex(done.hi), 8, "0"), F.lpad(F.hex(done.lo), 8, "0")))
+
+
+def project_id(root: Column) -> Column:
+    """The version 5 UUID of a project's root folder within the projects' namespace, backslashes as slashes."""
+    h = F.sha1(F.concat(F.unhex(F.lit(PROJECT_NAMESPACE)), F.encode(F.replace(root, F.lit("\\"), F.lit("/")), "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))

@@ -111,3 +111,14 @@ def precision_recall(expected: DataFrame, actual: DataFrame, by: list[str], key:
     counted = both.groupBy(*by).agg(F.count("e").alias("n_expected"), F.count("a").alias("n_actual"), F.count(F.when(F.col("e").isNotNull(), F.col("a"))).alias("n_matched"))
     share: Column = lambda n: F.when(F.col(n) == 0, 1.0).otherwise(F.col("n_matched") / F.col(n))
     return counted.select("*", share("n_actual").alias("precision"), share("n_expected").alias("recall"))
+
+
+def fingerprints(texts: DataFrame, by: list[str], path: str, text: str) -> DataFrame:
+    """(by, n_files, fingerprint) that changes with any path or text of a group, whatever the order of its files.
+
+    The exclusive or of the files' hashes, so that parts are combined before they are shuffled. A null text differs from
+    an empty one; the same file given twice counts once.
+    """
+    files = texts.where(F.col(path).isNotNull()).select(*by, path, F.coalesce(F.md5(text), F.lit("none")).alias("digest")).distinct()
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("\n", path, "digest")), 1, 15), 16, 10).cast("bigint")
+    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"), F.bit_xor(hashed).alias("fingerprint"))

@@ -427,3 +427,18 @@ def target_flags(spark: SparkSession, folder: str) -> DataFrame:
         F.count_if(F.expr("total_index_ms >= parsing_ms AND parsing_ms >= 0")).alias("n_consistent"),
     )
     return runs.withColumn("mostly_consistent", F.col("n_consistent") * 100 >= F.col("n") * 60)
+
+
+@_query("""WITH f AS (SELECT DISTINCT repo, file_path, coalesce(md5(text), 'none') AS digest FROM documents WHERE doc_kind = 'source' AND file_path IS NOT NULL)
+    SELECT repo, count(*) AS n_files, bit_xor(CAST('0x' || substr(md5(file_path || chr(10) || digest), 1, 15) AS BIGINT)) AS fingerprint FROM f GROUP BY ALL""")
+def source_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.fingerprints(table(spark, folder, "documents").where("doc_kind = 'source'"), ["repo"], "file_path", "text")
+
+
+@_query("""WITH h AS (SELECT project_id, canonical_root, sha1(unhex('2bbd078153ac4e839e4b87ecad76bf89') || encode(replace(canonical_root, '\\', '/'))) AS h FROM projects),
+    u AS (SELECT *, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS expected FROM h)
+    SELECT project_id, expected, project_id = expected AS agrees FROM u""")
+def project_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Each project's identifier beside the one that follows from its root folder."""
+    expected = names.project_id(F.col("canonical_root"))
+    return table(spark, folder, "projects").select("project_id", expected.alias("expected"), (F.col("project_id") == expected).alias("agrees"))

@@ -119,3 +119,14 @@ def test_sensitive_and_suppressed(spark):
     assert values(paths, names.is_sensitive(F.col("p"))) == [True] * 5 + [False, False, None]
     rows = spark.createDataFrame([("METHOD", "getX", "f", "method:A#getX()", "{}"), ("METHOD", "run", "f", "method:java.util.A#run()", "{}"), ("TYPE", "A", "f", "type:A", '{"generated":true}'), ("METHOD", "run", "f", "method:A#run()", "{}"), ("TYPE", "A", None, "type:A", None)], "k string, s string, f string, i string, m string")
     assert values(rows, names.is_suppressed(*(F.col(c) for c in "ksfim"))) == [True, True, True, False, True]
+
+
+def test_project_ids_and_fingerprints(spark):
+    import uuid
+
+    roots = ["/srv/work/a", "C:\\work\\b", "/ä"]
+    df = spark.createDataFrame([(r,) for r in roots], "r string")
+    assert values(df, names.project_id(F.col("r"))) == [str(uuid.uuid5(uuid.UUID(names.PROJECT_NAMESPACE), r.replace("\\", "/"))) for r in roots]
+    files = [("x", "a", "1"), ("x", "b", None), ("x", "b", None), ("y", "b", ""), ("y", "a", "1"), ("y", None, "1"), ("z", "a", "1"), ("z", "b", None)]
+    got = {r.g: (r.n_files, r.fingerprint) for r in counts.fingerprints(spark.createDataFrame(files, "g string, p string, t string"), ["g"], "p", "t").collect()}
+    assert got["x"] == got["z"] != got["y"] and got["y"][0] == 2
