@@ -2,13 +2,15 @@
 
 Clean stretches of the corpus are garbled synthetically by every known chain of encodings, and a multinomial model of
 hashed byte bigrams learns to tell the chains and clean text apart. A stretch that the model gives to a chain is
-encoded and decoded back along it; only if every step is strictly possible it counts as garbled by that chain.
+encoded and decoded back along it; only if every step is strictly possible it counts as garbled by that chain. The
+chains found in a text are then held against its other stretches, where less evidence is enough.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,12 +26,14 @@ BUCKETS, SMOOTHING = 1 << 14, 0.02
 MARGIN, MARGIN_UTF8 = 4.0, 1.0
 #: How much more plausible (natural logarithm for a byte pair) the original must be as clean text.
 PLAUSIBLE = 1.0
-#: The same for all byte pairs together, for chains without UTF-8.
-PLAUSIBLE_TOTAL = 8.0
+#: The same for all byte pairs together, for chains without UTF-8: within a word, with signs or single letters, and where the chain is known from the same text.
+PLAUSIBLE_TOTAL, PLAUSIBLE_SIGNS, PLAUSIBLE_KNOWN = 8.0, 24.0, 2.0
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 #: A word that holds a character outside ASCII, with what follows up to white space, a quote or a bracket.
 STRETCH = r'[A-Za-z]*+[^\x00-\x7F][^\x00-\x20"<>(){}]*+'
 LOST = "�"
+#: The first bytes of a character in UTF-8 without the last one; one of three bytes after its first one could be a whole letter.
+_CUT_OFF = re.compile(rb"(?:[\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{1,2})\Z")
 
 # Encodings texts are written in, and those they are wrongly read in.
 SINGLE = ("cp1252", "latin-1", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "mac_roman", "cp437", "cp850", "cp852", "iso8859_15", "cp1254", "mac_cyrillic", "iso8859_5")
@@ -149,15 +153,47 @@ class Model:
         total, n = self.scores([t for _, t in back])
         for (i, original), clean, pairs in zip(back, total[:, 0], n):
             mean = clean / pairs if pairs else 0.0
-            if mean - own > PLAUSIBLE and (self.known[i][-1][0] == "utf-8" or clean - own * size > PLAUSIBLE_TOTAL and _is_word(text, original)):
+            if mean - own > PLAUSIBLE and (self.known[i][-1][0] == "utf-8" or clean - own * size > (PLAUSIBLE_TOTAL if _is_word(text, original) else PLAUSIBLE_SIGNS) and _spaces_kept(text, original)):
                 return self.known[i], original
         return None
 
+    def follow(self, texts: list[str], found: dict[Chain, int]) -> list[tuple[Chain, str | None] | None]:
+        """As judge, for stretches without a verdict in a text where chains were found so many times.
+
+        What can be taken back strictly along such a chain counts: with UTF-8 always, else if the original is more
+        plausible or the chain likelier than clean text. What can't, but is likelier garbled than clean and ends in the
+        midst of a character, stays as a case without an original.
+        """
+        at = {chain: self.known.index(chain) for chain in sorted(found, key=lambda c: (-found[c], c))}
+        verdicts: list[tuple[Chain, str | None] | None] = []
+        for text, row in zip(texts, self.scores(texts)[0]):
+            back = [(c, t) for c in at if (t := invert(text, c)) is not None and LOST not in t and not CONTROL.search(t)]
+            scored = self.scores([t for _, t in back])[0]
+            gains = [(c[-1][0] == "utf-8", p - row[0], c, t) for (c, t), p in zip(back, scored[:, 0]) if c[-1][0] == "utf-8" or p - row[0] > PLAUSIBLE_KNOWN or row[at[c] + 1] - row[0] > MARGIN]
+            verdict = max(gains, key=lambda g: g[:2])[2:] if gains else None
+            if verdict is None:
+                stays = [c for c, i in at.items() if row[i + 1] - row[0] > MARGIN_UTF8 and _cut_off(text, c)]
+                verdict = (stays[0], None) if stays else None
+            verdicts.append(verdict)
+        return verdicts
+
 
 def _is_word(text: str, original: str) -> bool:
-    """Whether single characters were mixed up within a word: of two letters at least, none of them a space now."""
+    """Whether single characters were mixed up within a word: of two letters at least."""
     changed = [(a, b) for a, b in zip(text, original) if a != b]
-    return sum(c.isalpha() for c in original) > 1 and (len(text) != len(original) or all(b.isalpha() and not a.isspace() for a, b in changed))
+    return sum(c.isalpha() for c in original) > 1 and (len(text) != len(original) or all(b.isalpha() for a, b in changed))
+
+
+def _spaces_kept(text: str, original: str) -> bool:
+    """Whether no space would become another character: they are correct in any text and say nothing about its encoding."""
+    return len(text) != len(original) or not any(a.isspace() and a != b for a, b in zip(text, original))
+
+
+def _cut_off(text: str, chain: Chain) -> bool:
+    """Whether text ends in the midst of a character, as UTF-8 read along the chain."""
+    written, read = chain[-1]
+    data = encode(text, read) if written == "utf-8" else None
+    return data is not None and _CUT_OFF.search(data) is not None
 
 
 def _utf8_inside(text: str) -> bool:
@@ -215,6 +251,19 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_stretches: i
     return _fit(list(clean), list(clean.values()), spark, known) if garbled else model
 
 
+def _in_context(model: Model, parts: list[str], seen: dict[str, tuple | None]) -> list[tuple[str, tuple | None]]:
+    """The stretches of a text with their verdicts, after the chains found in it were held against its other stretches."""
+    found = Counter(v[0] for t in parts if (v := seen[t]) and v[0])
+    left = [t for t in parts if seen[t] is None] if found else []
+    more = dict(zip(left, model.follow(left, found))) if left else {}
+    return [(t, more.get(t, seen[t])) for t in parts]
+
+
+def _put_right(text: str, originals: dict[str, str]) -> str:
+    """The text with its stretches replaced, only where they stand as a whole."""
+    return re.sub(STRETCH, lambda m: originals.get(m.group(), m.group()), text)
+
+
 def garbled_texts(docs: DataFrame, model: Model | None = None, with_text: bool = False) -> DataFrame:
     """(doc_id, stretches): each text with garbled stretches, as structs of stretch, chain and original.
 
@@ -236,10 +285,11 @@ def garbled_texts(docs: DataFrame, model: Model | None = None, with_text: bool =
             if len(seen) > 500_000:
                 seen, new = {}, list(dict.fromkeys(t for parts in own for t in parts))
             seen.update(zip(new, shared.value.judge(new)))
-            hits = [[(t, ["{}>{}".format(*s) for s in v[0]], v[1]) for t in parts if (v := seen[t])] for parts in own]
+            verdicts = [_in_context(shared.value, list(parts), seen) for parts in own]
+            hits = [[(t, ["{}>{}".format(*s) for s in v[0]], v[1]) for t, v in vs if v] for vs in verdicts]
             rows = b[["doc_id"]].assign(stretches=[[dict(zip(("stretch", "chain", "original"), h)) for h in hs] for hs in hits])
             if with_text:
-                rows["restored"] = [functools.reduce(lambda t, h: t.replace(h[0], h[2]) if h[2] else t, sorted(hs, key=lambda h: -len(h[0])), text) for text, hs in zip(b["text"], hits)]
+                rows["restored"] = [_put_right(text, {h[0]: h[2] for h in hs if h[2]}) if hs else text for text, hs in zip(b["text"], hits)]
             yield rows[[bool(hs) for hs in hits]]
 
     schema = "doc_id bigint, stretches array<struct<stretch string, chain array<string>, original string>>"

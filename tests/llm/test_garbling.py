@@ -50,3 +50,14 @@ def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert g.garbled_texts(empty).collect() == []
     assert g.garbled_texts(spark.createDataFrame([(1, "plain", "x", "y"), (2, None, "x", "y")], SCHEMA)).collect() == []
+
+
+def test_chain_of_a_text_holds_for_its_short_stretches(spark):
+    known = [*CLEAN, "Ошибка в файле, не в индексе, а в ссылке.", "La tâche est prête."]
+    model = g.train(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(known * 20)], SCHEMA))
+    text = "Осталось восемь задач, в индексе в файле."
+    garbled = g.garble(text, (("cp1251", "cp1252"),)) + " La tâche est prête."
+    rows = [(1, garbled, "x", "y"), (2, "Route\xa0lookups\xa0through\xa0it", "x", "y"), (3, "problÃ¨me dÃ©jÃ  signalÃ© Ã l’équipe", "x", "y")]
+    found = {r.doc_id: r for r in g.garbled_texts(spark.createDataFrame(rows, SCHEMA), model, with_text=True).collect()}
+    assert set(found) == {1, 3} and found[1].restored == text + " La tâche est prête."
+    assert [s.original for s in found[3].stretches if s.stretch in ("Ã", "dÃ©jÃ")] == [None, None]
