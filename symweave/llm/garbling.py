@@ -9,6 +9,7 @@ chains found in a text are then held against its other stretches, where less evi
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,11 +30,14 @@ PLAUSIBLE = 1.0
 #: The same for all byte pairs together, for chains without UTF-8: within a word, with signs or single letters, and where the chain is known from the same text.
 PLAUSIBLE_TOTAL, PLAUSIBLE_SIGNS, PLAUSIBLE_KNOWN = 8.0, 24.0, 2.0
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
-#: A word that holds a character outside ASCII, with what follows up to white space, a quote or a bracket.
-STRETCH = r'[A-Za-z]*+[^\x00-\x7F][^\x00-\x20"<>(){}]*+'
+#: A word that holds a character outside ASCII, with what follows up to white space, a quote or a bracket; braces can be the second byte of a character.
+STRETCH = r'[A-Za-z]*+[^\x00-\x7F](?:[^\x00-\x20"<>(){}]|(?<=[^\x00-\x7F])[{}])*+'
 LOST = "�"
 #: The first bytes of a character in UTF-8 without the last one; one of three bytes after its first one could be a whole letter.
 _CUT_OFF = re.compile(rb"(?:[\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{1,2})\Z")
+#: A character outside ASCII in UTF-8, and what is left of one that lost bytes.
+_UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
+_REST = re.compile(rb"[\xc2\xc3](?![\x80-\xbf])|" + _CUT_OFF.pattern)
 
 # Encodings texts are written in, and those they are wrongly read in.
 SINGLE = ("cp1252", "latin-1", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp866", "mac_roman", "cp437", "cp850", "cp852", "iso8859_15", "cp1254", "mac_cyrillic", "iso8859_5")
@@ -62,6 +66,10 @@ def _table(codec: str) -> tuple[str, dict[int, int]] | None:
     return of, {ord(c): b for b, c in enumerate(of)}
 
 
+#: Characters that no single-byte encoding leads to.
+_FOREIGN = re.compile(f"[^{re.escape(''.join(sorted({c for codec in SINGLE for c in _table(codec)[0]})))}]+")
+
+
 def encode(text: str, codec: str) -> bytes | None:
     """The bytes of text, or None if it can't be written in the encoding."""
     if table := _table(codec):
@@ -102,6 +110,61 @@ def invert(text: str, chain: Chain) -> str | None:
     return None if text == start else text
 
 
+def invert_runs(text: str, chain: Chain) -> tuple[str, bool] | None:
+    """Text with the runs put right that can be taken back along the chain, and whether a part of a character is left.
+
+    None unless there are such runs for every step.
+    """
+    broken = False
+    for written, read in reversed(chain):
+        out, start, coded = [], text, [(c, encode(c, read)) for c in text]
+        for known, part in itertools.groupby(coded, key=lambda p: p[1] is not None):
+            chars = list(part)
+            if not known:
+                if written != "utf-8" and any(c.isalpha() and not _FOREIGN.match(c) for c, _ in chars):
+                    return None  # a letter within the word that the encoding doesn't have
+                out.append("".join(c for c, _ in chars))
+                continue
+            data, rest = b"".join(b for _, b in chars), []
+            if written == "utf-8":
+                at, ends = 0, list(itertools.accumulate((len(b) for _, b in chars), initial=0))
+                place = {e: k for k, e in enumerate(ends)}
+                for sequence in _utf8_runs(data, place):
+                    out += [c for c, _ in chars[place[at] : place[sequence[0]]]] + [data[slice(*sequence)].decode("utf-8")]
+                    rest.append(data[at : sequence[0]])
+                    at = sequence[1]
+                out += [c for c, _ in chars[place[at] :]]
+                broken |= _REST.search(data[at:]) is not None or any(_REST.search(r) for r in rest)
+            else:
+                read_back = data.decode(written, "surrogateescape")
+                lost = sum("\udc80" <= c <= "\udcff" for c in read_back)
+                if lost > 1:
+                    return None
+                broken |= lost > 0
+                out += [decode(bytes([ord(c) - 0xDC00]), read) or c if "\udc80" <= c <= "\udcff" else c for c in read_back]
+        text = "".join(out)
+        if text == start:
+            return None
+    return text, broken
+
+
+def _utf8_runs(data: bytes, bounds: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Start and end of the runs of UTF-8 outside ASCII that begin and end with whole characters of what was read."""
+    start = end = last = -1
+    for m in _UTF8.finditer(data):
+        if m.start() != last:
+            if end > start >= 0:
+                yield start, end
+            start = end = -1
+        last = m.end()
+        if start < 0 and m.start() in bounds:
+            start = m.start()
+        if start >= 0 and last in bounds:
+            end = last
+    if end > start >= 0:
+        yield start, end
+
+
 def _bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed buckets of all byte pairs that aren't plain ASCII, and the position after each text's last one."""
     data = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
@@ -141,11 +204,35 @@ class Model:
                 verdict = ((), None) if LOST in text else None
                 if some and verdict is None:
                     order = sorted(np.argsort(-row)[:16], key=lambda i: self.known[i][-1][0] != "utf-8")  # strict UTF-8 is the stronger witness
-                    back = [(i, invert(text, self.known[i])) for i in order if row[i] > (MARGIN_UTF8 if self.known[i][-1][0] == "utf-8" else MARGIN)]
+                    order = [i for i in order if row[i] > (MARGIN_UTF8 if self.known[i][-1][0] == "utf-8" else MARGIN)]
+                    back = [(i, invert(text, self.known[i])) for i in order]
                     back = [(i, t) for i, t in back if t is not None and LOST not in t and not CONTROL.search(t)]
                     if back:
                         verdict = self._best(text, back, own, int(size))
+                    if verdict is None:
+                        verdict = self._runs(text, order, own, int(size))
                 found.append(verdict)
+        return self._between(texts, found)
+
+    def _runs(self, text: str, order: list[int], own: float, size: int) -> tuple[Chain, str | None] | None:
+        """The verdict for a text that can't be taken back as a whole, by the runs in it that can."""
+        runs = {i: r for i in order if (r := invert_runs(text, self.known[i])) and LOST not in r[0]}
+        verdict = self._best(text, [(i, t) for i, (t, _) in runs.items()], own, size) if runs else None
+        if verdict is None:
+            return None
+        whole = [t for i, (t, broken) in runs.items() if self.known[i] == verdict[0] and not broken and not CONTROL.search(t)]
+        return verdict[0], whole[0] if whole else None
+
+    def _between(self, texts: list[str], found: list[tuple[Chain, str | None] | None]) -> list[tuple[Chain, str | None] | None]:
+        """The verdicts; clean texts with characters that single-byte encodings don't lead to are looked at again between those."""
+        parts = {at: [p for p in _FOREIGN.split(t) if not p.isascii()] for at, (t, v) in enumerate(zip(texts, found)) if v is None and _FOREIGN.search(t)}
+        inner = list(dict.fromkeys(p for ps in parts.values() for p in ps))
+        verdicts = {p: v for p, v in zip(inner, self.judge(inner)) if v and v[0]} if inner else {}
+        for at, own in parts.items():
+            hits = [verdicts[p] for p in own if p in verdicts]
+            if hits:
+                whole = all(v[1] is not None for v in hits)
+                found[at] = hits[0][0], "".join(verdicts[p][1] if p in verdicts else p for p in re.split(f"({_FOREIGN.pattern})", texts[at])) if whole else None
         return found
 
     def _best(self, text: str, back: list[tuple[int, str]], own: float, size: int) -> tuple[Chain, str] | None:
@@ -254,9 +341,9 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_stretches: i
 def _in_context(model: Model, parts: list[str], seen: dict[str, tuple | None]) -> list[tuple[str, tuple | None]]:
     """The stretches of a text with their verdicts, after the chains found in it were held against its other stretches."""
     found = Counter(v[0] for t in parts if (v := seen[t]) and v[0])
-    left = [t for t in parts if seen[t] is None] if found else []
+    left = [t for t in parts if seen[t] is None or seen[t][0] and seen[t][1] is None] if found else []
     more = dict(zip(left, model.follow(left, found))) if left else {}
-    return [(t, more.get(t, seen[t])) for t in parts]
+    return [(t, more.get(t) or seen[t]) for t in parts]
 
 
 def _put_right(text: str, originals: dict[str, str]) -> str:

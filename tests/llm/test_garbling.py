@@ -61,3 +61,21 @@ def test_chain_of_a_text_holds_for_its_short_stretches(spark):
     found = {r.doc_id: r for r in g.garbled_texts(spark.createDataFrame(rows, SCHEMA), model, with_text=True).collect()}
     assert set(found) == {1, 3} and found[1].restored == text + " La tâche est prête."
     assert [s.original for s in found[3].stretches if s.stretch in ("Ã", "dÃ©jÃ")] == [None, None]
+
+
+def test_runs_within_stretches(spark, model):
+    ja, once = CLEAN[6], (("utf-8", "cp1252"),)
+    rows = [(1, "signalÃ©,Ã©quipe,dÃ©jÃ  lu", "x", "y"), (2, ja[:8] + g.garble("déjà signalé".split()[1], once) + ja[8:], "x", "y"), (3, "→problÃ¨me→", "x", "y"), (4, ja + "— “naïve”", "x", "y")]
+    found = {r.doc_id: r for r in g.garbled_texts(spark.createDataFrame(rows, SCHEMA), model, with_text=True).collect()}
+    assert set(found) == {1, 2, 3}
+    assert [s.original for s in found[1].stretches] == [None] and found[1].restored == rows[0][1]
+    assert found[2].restored == ja[:8] + "signalé" + ja[8:] and found[3].restored == "→problème→"
+
+
+def test_runs_are_whole_characters():
+    assert g.invert_runs("“Ã©tÃ©”", (("utf-8", "cp1252"),)) == ("“été”", False)
+    assert g.invert_runs("dÃ©jÃ", (("utf-8", "latin-1"),)) == ("déjÃ", True)
+    assert g.invert_runs("→Îøèáêà→", (("cp1251", "cp1252"),)) == ("→Ошибка→", False)
+    assert g.invert_runs("déjà", (("utf-8", "cp1252"),)) is None
+    garbled = g.garble("ボタン", (("cp932", "cp1252"),))
+    assert "{" in garbled and g.re.findall(g.STRETCH, "a " + garbled + " {b}") == [garbled]
