@@ -203,7 +203,7 @@ class Model:
             for text, row, own, size, some in zip(part, gain, clean, n, likely):
                 verdict = ((), None) if LOST in text else None
                 if some and verdict is None:
-                    order = sorted(np.argsort(-row)[:16], key=lambda i: self.known[i][-1][0] != "utf-8")  # strict UTF-8 is the stronger witness
+                    order = sorted(np.argsort(-row), key=lambda i: self.known[i][-1][0] != "utf-8")  # strict UTF-8 is the stronger witness
                     order = [i for i in order if row[i] > (MARGIN_UTF8 if self.known[i][-1][0] == "utf-8" else MARGIN)]
                     back = [(i, invert(text, self.known[i])) for i in order]
                     back = [(i, t) for i, t in back if t is not None and LOST not in t and not CONTROL.search(t)]

@@ -79,3 +79,21 @@ def test_runs_are_whole_characters():
     assert g.invert_runs("déjà", (("utf-8", "cp1252"),)) is None
     garbled = g.garble("ボタン", (("cp932", "cp1252"),))
     assert "{" in garbled and g.re.findall(g.STRETCH, "a " + garbled + " {b}") == [garbled]
+
+
+def test_every_chain_within_the_margin_is_tried():
+    """The true chain is the least likely one of all that clear the margin."""
+    known, text = g.chains(), g.garble("été", (("utf-8", "cp1252"),))
+    true = known.index((("utf-8", "cp1252"),))
+    weights = g.np.zeros((g.BUCKETS, len(known) + 1), g.np.float32)
+    weights[:, 0] = -9.0
+    weights[g._bigrams(["été"])[0], 0] = -2.0
+    weights[g._bigrams([text])[0], 0] = -9.0
+    for i, chain in enumerate(known):
+        if i != true and g.invert(text, chain) is None and g.invert_runs(text, chain) is None:
+            weights[:, i + 1] = -1.0
+        elif i != true:
+            weights[:, i + 1] = -20.0
+    weights[:, true + 1] = -7.0
+    assert (weights[0, 1:] > -7.0).sum() > 16
+    assert g.Model(weights, known).judge([text]) == [(known[true], "été")]
