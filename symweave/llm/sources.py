@@ -7,6 +7,7 @@ statements are held against the local grammars of its language.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +21,8 @@ from symweave.llm.syntax.shapes import WRONG, Bad
 
 #: A chunk ends at the first line end after so many characters.
 CHUNK = 24_000
+#: More frames than the grammars need for each token, however deep groups and statements are nested.
+FRAMES = 64
 LANGUAGES = ("java", "rust", "json", "toml")
 
 
@@ -27,14 +30,19 @@ def parses(tokens: str | None, language: str) -> bool:
     """Whether the tokens of a whole file follow the language's grammar; None for tokens that were found wrong before."""
     if tokens is None or WRONG in tokens:
         return False
+    limit = sys.getrecursionlimit()
     try:
+        # The grammars take a bounded number of frames for a token. They call each other in plain Python only, whose frames lie on the heap.
+        sys.setrecursionlimit(min(limit + FRAMES * len(tokens), 2**31 - 1))
         if language in ("json", "toml"):
             (data.json_file if language == "json" else data.toml_file)(tokens)
             return True
         grammar = Java if language == "java" else Rust
         return grammar.holds("file", grammar.shapes.reduce(tokens))
-    except (Bad, RecursionError):
+    except Bad:
         return False
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def source_files(docs: DataFrame, extensions: DataFrame) -> DataFrame:

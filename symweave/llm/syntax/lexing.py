@@ -11,7 +11,7 @@ import re
 from collections import defaultdict
 
 from symweave.llm.syntax import data, java, rust
-from symweave.llm.syntax.shapes import WRONG
+from symweave.llm.syntax.shapes import ROUNDS, WRONG
 
 _ESCAPE_J = r"\\(?:[btnfrs\"'\\]|[0-3]?[0-7]{1,2}|u+[0-9a-fA-F]{4})"
 _ESCAPE_R = r"\\(?:[nrt\\0'\"]|x[0-7][0-9a-fA-F]|u\{(?:[0-9a-fA-F]_*){1,6}\}|\r?\n)"
@@ -108,10 +108,19 @@ def lex(text: str, language: str, state: str = "N") -> tuple[str, str]:
 
 def brackets(tokens: str) -> str:
     """The brackets that find no partner within the tokens: closing ones, then opening ones, if the tokens are sound."""
-    left, n = _BRACKETS.sub("", tokens), 1
-    while n:
+    left, n, rounds = _BRACKETS.sub("", tokens), 1, 0
+    while n and rounds < ROUNDS:
         left, n = _PAIRS.subn("", left)
-    return left
+        rounds += 1
+    if not n:
+        return left
+    open_: list[str] = []
+    for c in left:
+        if open_ and open_[-1] + c in ("()", "[]", "{}"):
+            open_.pop()
+        else:
+            open_.append(c)
+    return "".join(open_)
 
 
 def entries(text: str, language: str) -> list[str]:

@@ -10,6 +10,10 @@ from __future__ import annotations
 import re
 
 _INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+_PIECE = re.compile(r"[()\[\]{}]|[^()\[\]{}]+")
+_CLOSE = {"(": ")", "[": "]", "{": "}"}
+#: Levels of groups that are reduced one after the other; deeper ones are in a single pass.
+ROUNDS = 64
 _FIRST = {"(": 0x1000, "[": 0x50000, "{": 0x90000}
 _LAST = {"(": 0x50000, "[": 0x90000, "{": 0x110000}
 #: Ends every string; a token that is no token of the language.
@@ -46,8 +50,7 @@ class Shapes:
         self.checked: dict[tuple[str, str], bool] = {}
         self.statements: dict[str, bool] = {}
 
-    def _char(self, m: re.Match) -> str:
-        group = m.group()
+    def _char(self, group: str) -> str:
         c = self.known.get(group)
         if c is None:
             n = self.next[group[0]]
@@ -62,13 +65,36 @@ class Shapes:
         """The tokens without brackets. Raises Bad if brackets don't match."""
         if any(self.next[k] > _LAST[k] - 100_000 for k in _FIRST) or len(self.statements) > 500_000:
             self.clear()
-        n = 1
-        while n:
-            tokens, n = _INNER.subn(self._char, tokens)
+        n, rounds = 1, 0
+        while n and rounds < ROUNDS:
+            tokens, n = _INNER.subn(lambda m: self._char(m.group()), tokens)
+            rounds += 1
+        if n:
+            tokens = self._deep(tokens)
         if any(b in tokens for b in "()[]{}"):
             raise Bad
         return tokens
 
+    def _deep(self, tokens: str) -> str:
+        """What is left of deep groups, in one pass over the tokens. Raises Bad if brackets don't match."""
+        outer: list[tuple[str, list[str]]] = []
+        parts: list[str] = []
+        for piece in _PIECE.findall(tokens):
+            if piece in _CLOSE:
+                outer.append((piece, parts))
+                parts = []
+            elif piece in _CLOSE.values():
+                if not outer or _CLOSE[outer[-1][0]] != piece:
+                    raise Bad
+                first, before = outer.pop()
+                before.append(self._char(first + "".join(parts) + piece))
+                parts = before
+            else:
+                parts.append(piece)
+        if outer:
+            raise Bad
+        return "".join(parts)
+
 
 class Grammar:
     """A recursive descent over one flat string; groups within it are checked by the rule their place asks for."""

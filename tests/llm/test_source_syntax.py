@@ -96,3 +96,26 @@ def test_files_rates_and_edges(spark, at):
     got = {(r.repo, r.language): (r.n_files, r.n_invalid, r.n_reported, r.n_reported_invalid, r.files_failed, r.invalid_share) for r in s.invalid_rates(docs, extensions, diagnostics, summaries).collect()}
     assert got == {("r", "java"): (2, 1, 2, 1, 1, 0.5), ("r", "json"): (1, 1, 0, 0, None, 1.0), ("q", "rust"): (1, 0, 0, 0, None, 0.0), ("z", "rust"): (0, 0, 0, 0, 0, None)}
     assert s.checked_files(files.limit(0)).collect() == []
+
+
+DEPTH = 5_000
+DEEP = {
+    "java": [
+        "class A { int x = %s1%s; }" % ("(" * DEPTH, ")" * DEPTH), "class A { void f() { %s %s } }" % ("if (a) {" * DEPTH, "}" * DEPTH),
+        "class A { void f() { if (a) b(); %s else c(); } }" % ("else if (a) b(); " * DEPTH), "class A { int x = %s1%s; }" % ("f(a, b -> " * DEPTH, ")" * DEPTH), "class A { int x = %s 1; }" % ("- " * DEPTH),
+    ],
+    "rust": [
+        "fn f() { let x = %s1%s; }" % ("(" * DEPTH, ")" * DEPTH), "fn f() { %s %s }" % ("if a {" * DEPTH, "}" * DEPTH), "fn f() { if a { b(); } %s else { c(); } }" % ("else if a { b(); } " * DEPTH),
+        "fn f() { let x = %s1%s; }" % ("f(a, |b| " * DEPTH, ")" * DEPTH), "fn f() -> %su8%s { 1 }" % ("Vec<" * 1000, ">" * 1000), "mod a { " * DEPTH + "}" * DEPTH,
+    ],
+}
+
+
+@pytest.mark.parametrize("language", DEEP)
+def test_deep_files(language):
+    for text in DEEP[language]:
+        assert valid(text, language), text[:60]
+        assert not valid(text + "}", language), text[:60]
+    deep = "(" * DEPTH + "%s" + ")" * DEPTH
+    around = "class A { int x = %s; }" if language == "java" else "fn f() { let x = %s; }"
+    assert valid(around % (deep % "1"), language) and not valid(around % (deep % "1 1"), language)
