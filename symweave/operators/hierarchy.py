@@ -69,12 +69,28 @@ def forest(links: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> Forest:
         ends = rest.select(F.col("parent").alias("id")).distinct().join(first.select("id"), "id", "left_anti").withColumn("previous", F.lit(None).cast("bigint"))
         ranked = rank_lists(first.unionByName(ends), [])
         ring = cut(ranked.where("head IS NULL").select(F.col("id").alias("child")))
-        rest, _ = _peel(cut(rest.join(ring, "child", "left_semi").select("parent", "child")), "child", 1 << 20)
+        rest = _cycles(cut(rest.join(ring, "child", "left_semi").select("parent", "child")))
     # With one parent for each node only cycles are left; with more, also nodes above them, which go from the other side.
     rest, _ = _peel(rest, "parent", 1 << 20) if rest.join(rest.select(F.col("child").alias("parent")), "parent", "left_anti").head(1) else (rest, True)
     return Forest(nodes, arcs, rest.select(F.col("child").alias("id")).distinct())
 
 
+def _cycles(arcs: DataFrame) -> DataFrame:
+    """The arcs on cycles among arcs of nodes on and below cycles, where each node has one parent.
+
+    Pointers are doubled. What they reach shrinks until only cycles are left, in logarithmic rounds of what hangs below.
+    """
+    jumps, before = arcs.select(F.col("child").alias("id"), F.col("parent").alias("to")), -1
+    while True:
+        reached = jumps.select(F.col("to").alias("child")).distinct()
+        n = reached.count()
+        if n == before:
+            return cut(arcs.join(reached, "child", "left_semi").select("parent", "child"))
+        before = n
+        further = jumps.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        jumps = cut(jumps.join(further, "to").select("id", F.col("next").alias("to")), bounded=True)
+
+
 def _siblings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with nth, parts) of children (parent, child, name): each one's place among its siblings, from 0.
 

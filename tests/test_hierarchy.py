@@ -72,3 +72,12 @@ def test_list_ranking(spark):
     ranked = {r.id: (r.head, r.w) for r in rank_lists(spark.createDataFrame(elements, "id long, previous long, w long"), ["w"]).collect()}
     assert all(ranked[i] == (i - i % 10, 2 * (i % 10 + 1)) for i in range(30))
     assert [ranked[i][0] for i in (100, 101, 102)] == [None] * 3
+
+
+def test_long_chain_below_a_cycle(spark, monkeypatch):
+    """What hangs below a cycle takes logarithmic rounds too, counted by the lineages cut."""
+    cuts, cut = [], hierarchy.cut
+    monkeypatch.setattr(hierarchy, "cut", lambda *a, **k: cuts.append(1) or cut(*a, **k))
+    pairs = [("x", "y"), ("y", "x"), ("x", "n000"), *((f"n{i:03}", f"n{i + 1:03}") for i in range(200)), ("root", "a")]
+    assert cyclic(spark, rows(pairs), peel_rounds=2) == brute_cyclic(pairs)
+    assert len(cuts) < 30
