@@ -1,9 +1,12 @@
 """Parent-child links to full hierarchies (problem 4).
 
-Leaves are peeled off the links, round after round, until only cycles are left; if the trees are higher than the
-allowed rounds, list ranking along the parents tells the rest apart. Then the Euler tour of every tree is a linked
-list, and its parallel ranking gives each node's entry and exit, from which follow depth, ancestors and descendants.
-Nodes on a cycle become roots of their own, so what hangs below a cycle is found like any other tree.
+Leaves are peeled off and only add weight to their parents. What is left forms Euler tours, linked lists whose parallel
+ranking gives each node's entry and exit, from which follow depth, ancestors and descendants. The tour of a tree begins
+at its root; one that leads around a cycle never begins, which is how cycles come out, with all that hangs below them.
+An element is followed by one other at most, so no key of the ranking is hot, whatever the shape of the trees.
+
+Nodes with several parents are the roots of parts of their own at first. Between the parts there is one link for each
+of these parents, and taking away parts without a parent, again and again, leaves those on or below a cycle.
 """
 
 from __future__ import annotations
@@ -14,10 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.operators.lists import rank_lists
-from symweave.session import cut
+from symweave.session import cut, cut_counted
 
-#: Rounds of peeling before list ranking takes over.
-PEEL_ROUNDS = 64
+#: Stands for all nodes of tours that never begin.
+RING = -1
 
 
 def parent_links(edges: DataFrame, kind: str = "DECLARES") -> DataFrame:
@@ -29,66 +32,34 @@ def parent_links(edges: DataFrame, kind: str = "DECLARES") -> DataFrame:
 
 @dataclass
 class Forest:
-    """nodes (project, stable_id, id), arcs (parent, child) by id, and core: the ids that lie on or between cycles."""
+    """nodes (project, stable_id, id) and arcs (parent, child) by id."""
 
     nodes: DataFrame
     arcs: DataFrame
-    core: DataFrame
-
-
-def _peel(arcs: DataFrame, gone: str, rounds: int) -> tuple[DataFrame, bool]:
-    """Takes away, round by round, the arcs whose node on the side gone has no arc on its other side; whether nothing more would go."""
-    other = "child" if gone == "parent" else "parent"
-    n = arcs.count()
-    for _ in range(0, rounds, 2):
-        if not n:
-            return arcs, True
-        left = arcs
-        for _ in range(2):
-            left = left.join(left.select(F.col(other).alias(gone)).distinct(), gone, "left_semi")
-        arcs = cut(left.select("parent", "child"))
-        n, before = arcs.count(), n
-        if n == before:
-            return arcs, True
-    return arcs, not n
 
 
-def forest(links: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> Forest:
-    """The links by id, and what peeling leaves of them."""
+def forest(links: DataFrame) -> Forest:
+    """The links by id."""
     links = cut(links)
     names = links.select("project", F.col("parent").alias("stable_id")).union(links.select("project", "child")).distinct()
     nodes = cut(names.withColumn("id", F.monotonically_increasing_id()))
     by = lambda end: nodes.select("project", F.col("stable_id").alias(end), F.col("id").alias(f"{end}_id"))
     arcs = cut(links.join(by("parent"), ["project", "parent"]).join(by("child"), ["project", "child"]).select(F.col("parent_id").alias("parent"), F.col("child_id").alias("child")))
-    rest, whole = _peel(arcs, "child", peel_rounds)
-    if not whole and rest.groupBy("child").count().where("count > 1").head(1):
-        rest, whole = _peel(rest, "child", 1 << 20)  # several parents: no single list leads upwards
-    if not whole:
-        # Higher trees: what reaches no node without a parent is on or below a cycle.
-        first = rest.select(F.col("child").alias("id"), F.col("parent").alias("previous"))
-        ends = rest.select(F.col("parent").alias("id")).distinct().join(first.select("id"), "id", "left_anti").withColumn("previous", F.lit(None).cast("bigint"))
-        ranked = rank_lists(first.unionByName(ends), [])
-        ring = cut(ranked.where("head IS NULL").select(F.col("id").alias("child")))
-        rest = _cycles(cut(rest.join(ring, "child", "left_semi").select("parent", "child")))
-    # With one parent for each node only cycles are left; with more, also nodes above them, which go from the other side.
-    rest, _ = _peel(rest, "parent", 1 << 20) if rest.join(rest.select(F.col("child").alias("parent")), "parent", "left_anti").head(1) else (rest, True)
-    return Forest(nodes, arcs, rest.select(F.col("child").alias("id")).distinct())
-
-
-def _cycles(arcs: DataFrame) -> DataFrame:
-    """The arcs on cycles among arcs of nodes on and below cycles, where each node has one parent.
-
-    Pointers are doubled. What they reach shrinks until only cycles are left, in logarithmic rounds of what hangs below.
-    """
-    jumps, before = arcs.select(F.col("child").alias("id"), F.col("parent").alias("to")), -1
-    while True:
-        reached = jumps.select(F.col("to").alias("child")).distinct()
-        n = reached.count()
-        if n == before:
-            return cut(arcs.join(reached, "child", "left_semi").select("parent", "child"))
-        before = n
-        further = jumps.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        jumps = cut(jumps.join(further, "to").select("id", F.col("next").alias("to")), bounded=True)
+    return Forest(nodes, arcs)
+
+
+def _below_cycles(arcs: DataFrame) -> DataFrame:
+    """(id) of the nodes on and below cycles: what is left after nodes without a parent were taken away, again and again."""
+    arcs, n = cut_counted(arcs, F.lit(True))
+    while n:
+        left = arcs
+        for _ in range(2):
+            left = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        arcs, now = cut_counted(left.select("parent", "child"), F.lit(True))
+        if now == n:
+            break
+        n = now
+    return arcs.select(F.col("child").alias("id")).distinct()
 
 
 def _siblings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +78,12 @@ def _siblings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _tours(tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, root, entry, exit, depth) of every node, from the Euler tours of (parent, child, name).
+    """(id, root, entry, exit, depth) of every node, from the Euler tours of (parent, child, name), where a node has one parent.
 
     The children of a node come leaves first. Leaves need no elements of their own: those of a node only add to its
     weight, and their places follow from their parent's. A node v with further inner nodes below enters as element
-    2 v and leaves as 2 v + 1; one with leaves alone is the one element 2 v.
+    2 v and leaves as 2 v + 1; one with leaves alone is the one element 2 v. Where a tour leads around a cycle, root is
+    null and the numbers say nothing.
     """
     parents = tree.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
     marked = cut(tree.join(parents, "child", "left"))
@@ -150,58 +122,56 @@ def _tours(tree: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def toured(f: Forest) -> DataFrame:
-    """(project, stable_id, id, parent, root, depth, entry, exit, in_cycle) of every node of the links.
+    """(id, parent, root, depth, entry, exit, in_cycle) of every node of the links.
 
-    in_cycle holds for nodes on a cycle or below one. The tree takes the parent of least id where a node has several;
-    in_cycle looks at all of them.
+    in_cycle holds for nodes on a cycle or below one, over all parents; these have no place. The tree takes the parent
+    of least id where a node has several.
     """
-    core = cut(f.core)
-    single = f.arcs.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n"))
-    tree = cut(single.join(core.withColumnRenamed("id", "child"), "child", "left_anti").join(f.nodes.select(F.col("id").alias("child"), F.col("stable_id").alias("name")), "child"))
-    spans = _tours(tree.select("parent", "child", "name"), f.nodes.select("id"))
-    marked = spans.join(core.select(F.col("id").alias("root"), F.lit(True).alias("core")), "root", "left").withColumn("in_cycle", F.coalesce("core", F.lit(False))).drop("core")
-    if tree.where("n > 1").head(1):
-        marked = _spread(marked, f.arcs)
-    return f.nodes.join(marked, "id").join(tree.select(F.col("child").alias("id"), "parent"), "id", "left")
-
-
-def _spread(marked: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Carries in_cycle over the further parents of nodes that have several."""
-    found = cut(marked.where("in_cycle").select("id"))
-    fresh = found
-    while fresh.head(1):
-        below = arcs.join(fresh.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
-        fresh = cut(below.join(found, "id", "left_anti"))
-        found = cut(found.union(fresh), bounded=True)
-    return marked.drop("in_cycle").join(found.withColumn("in_cycle", F.lit(True)), "id", "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(False)))
+    names = f.nodes.select(F.col("id").alias("child"), F.col("stable_id").alias("name"))
+    parents, several = cut_counted(f.arcs.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n")).join(names, "child"), F.col("n") > 1)
+    spans = _tours(parents.where("n = 1").select("parent", "child", "name"), f.nodes.select("id"))
+    if several:
+        parts = cut(spans.select("id", F.coalesce("root", F.lit(RING)).alias("part")))
+        between = f.arcs.join(parents.where("n > 1").select("child"), "child", "left_semi").join(parts.withColumnRenamed("id", "parent"), "parent").select(F.col("part").alias("parent"), "child").distinct()
+        ring = f.nodes.sparkSession.range(RING, RING + 1).select(F.col("id").alias("parent"), F.col("id").alias("child"))
+        bad = cut(parts.join(_below_cycles(between.union(ring)).withColumnRenamed("id", "part"), "part", "left_semi").select("id"))
+        placed = _tours(parents.join(bad.withColumnRenamed("id", "child"), "child", "left_anti").select("parent", "child", "name"), f.nodes.select("id").join(bad, "id", "left_anti"))
+        spans = placed.unionByName(bad, allowMissingColumns=True)
+    return spans.join(parents.select(F.col("child").alias("id"), "parent"), "id", "left").withColumn("in_cycle", F.col("root").isNull())
 
 
 def paths(tour: DataFrame) -> DataFrame:
-    """(id, path): the stable_ids from the root down to each node without a cycle above it, by pointer jumping."""
-    state = cut(tour.where("NOT in_cycle").select("id", "parent", F.array("stable_id").alias("path")))
-    while state.where("parent IS NOT NULL").head(1):
+    """(id, path): the stable_ids from the root down to each node of a tour without cycles, by pointer jumping.
+
+    A node that many others look back to at once is split by Spark's own handling of skewed joins.
+    """
+    more = F.col("parent").isNotNull()
+    state, left = cut_counted(tour.select("id", "parent", F.array("stable_id").alias("path")), more)
+    while left:
         above = state.select(F.col("id").alias("parent"), F.col("parent").alias("next"), F.col("path").alias("upper"))
-        longer = state.where("parent IS NOT NULL").join(above, "parent").select("id", F.col("next").alias("parent"), F.concat("upper", "path").alias("path"))
-        state = cut(state.where("parent IS NULL").unionByName(longer), bounded=True)
+        longer = state.where(more).join(above, "parent").select("id", F.col("next").alias("parent"), F.concat("upper", "path").alias("path"))
+        state, left = cut_counted(state.where(~more).unionByName(longer), more, bounded=True)
     return state.select("id", "path")
 
 
-def cyclic_nodes(edges: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """(project, stable_id): the nodes on a cycle of parent links (a link to itself is one) or below such a cycle.
 
     Links with a null project or endpoint are none; repeated links count once.
     """
-    return toured(forest(parent_links(edges), peel_rounds)).where("in_cycle").select("project", "stable_id")
+    f = forest(parent_links(edges))
+    return f.nodes.join(toured(f).where("in_cycle").select("id"), "id").select("project", "stable_id")
 
 
-def hierarchies(edges: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
+def hierarchies(edges: DataFrame) -> DataFrame:
     """(project, stable_id, root, depth, path, entry, exit, n_descendants) of every node without a cycle above it.
 
     path holds the stable_ids from the root to the node. The descendants of a node are the nodes of the same root with
     an entry between its entry and exit. Nodes on or below a cycle have none of this and are given by cyclic_nodes.
     """
-    tour = cut(toured(forest(parent_links(edges), peel_rounds)))
-    placed = tour.where("NOT in_cycle").join(paths(tour), "id")
+    f = forest(parent_links(edges))
+    tour = cut(f.nodes.join(toured(f).where("NOT in_cycle"), "id"))
+    placed = tour.join(paths(tour), "id")
     return placed.select("project", "stable_id", F.col("path")[0].alias("root"), "depth", "path", "entry", "exit", F.expr("(exit - entry - 1) div 2").alias("n_descendants"))
 
 

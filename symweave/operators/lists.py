@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.session import cut
+from symweave.session import cut_counted
 
 
 def rank_lists(elements: DataFrame, weights: list[str]) -> DataFrame:
@@ -15,17 +15,15 @@ def rank_lists(elements: DataFrame, weights: list[str]) -> DataFrame:
     doubles the distance that every element looks back, so the rounds are logarithmic in the longest list. Elements
     of a ring, or behind one, never reach a first element and get a null head.
     """
-    done = F.col("previous").isNull()
-    state = cut(elements.select("id", "previous", F.when(done, F.col("id")).alias("head"), *weights))
-    left = state.where("previous IS NOT NULL").count()
+    open_ = F.col("previous").isNotNull()
+    state, left = cut_counted(elements.select("id", "previous", F.when(~open_, F.col("id")).alias("head"), *weights), open_)
     while left:
         before = state.select(F.col("id").alias("previous"), F.col("previous").alias("b_previous"), F.col("head").alias("b_head"), *(F.col(w).alias(f"b_{w}") for w in weights))
-        jumped = state.where("previous IS NOT NULL").join(before, "previous").select(
+        jumped = state.where(open_).join(before, "previous").select(
             "id", F.col("b_previous").alias("previous"), F.col("b_head").alias("head"), *((F.col(w) + F.col(f"b_{w}")).alias(w) for w in weights)
         )
-        state = cut(state.where("previous IS NULL").unionByName(jumped), bounded=True)
-        now = state.where("previous IS NOT NULL").count()
+        state, now = cut_counted(state.where(~open_).unionByName(jumped), open_, bounded=True)
         if now == left:
-            break
+            break  # a list of any length gets shorter in every round, so only rings are left
         left = now
     return state.select("id", "head", *weights)

@@ -8,7 +8,8 @@ import sys
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, memory: str = "12g", shuffle_partitions: int | None = None) -> SparkSession:
@@ -49,6 +50,13 @@ def cut(df: DataFrame, bounded: bool = False) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame, condition: Column, bounded: bool = False) -> tuple[DataFrame, int]:
+    """As cut, with the number of rows that meet the condition, counted while they are written."""
+    seen = Observation()
+    kept = cut(df.observe(seen, F.count_if(condition).alias("n")), bounded)
+    return kept, seen.get["n"]
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from symweave.operators import hierarchy
+from symweave.operators import hierarchy, lists
 from symweave.operators.lists import rank_lists
 
 EDGES = "project string, source_stable_id string, target_stable_id string, kind string, id string, root string"
@@ -31,25 +31,24 @@ def brute_cyclic(pairs):
         bad |= more
 
 
-@pytest.mark.parametrize("rounds", [0, 2, 64])
-def test_cycles_and_what_lies_below(spark, rounds):
+def test_cycles_and_what_lies_below(spark):
     pairs = [("r", "a"), ("a", "b"), ("s", "s"), ("s", "t"), ("t", "u"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "w"), ("w", "v"), *((f"c{i}", f"c{i + 1}") for i in range(9))]
     edges = rows(pairs) + rows(pairs[:4]) + [("p", "b", "r", "CALLS", "x", "y"), ("p", None, "a", "DECLARES", "x", "y"), ("p", "a", None, "DECLARES", "x", "y"), (None, "m", "m", "DECLARES", "x", "y")]
-    assert cyclic(spark, edges, peel_rounds=rounds) == ["s", "t", "u", "v", "w", "x", "y", "z"]
+    assert cyclic(spark, edges) == ["s", "t", "u", "v", "w", "x", "y", "z"]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_several_parents_against_brute_force(spark, seed):
     rng = random.Random(seed)
     pairs = sorted({(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(14)})
-    assert cyclic(spark, rows(pairs), peel_rounds=2) == brute_cyclic(pairs)
+    assert cyclic(spark, rows(pairs)) == brute_cyclic(pairs)
 
 
 def test_places_of_a_forest(spark):
     rng = random.Random(3)
     parent = {f"n{i}": f"n{rng.randrange(i)}" for i in range(1, 40)}
     edges = rows([(p, c) for c, p in parent.items()], kind=" declares ") + rows([("n0", "n9")], project="q")
-    found = hierarchy.hierarchies(spark.createDataFrame(edges, EDGES), peel_rounds=4)
+    found = hierarchy.hierarchies(spark.createDataFrame(edges, EDGES))
     got = {r.stable_id: r for r in found.collect() if r.project == "p"}
     for n in ["n0", *parent]:
         path = [n]
@@ -74,10 +73,35 @@ def test_list_ranking(spark):
     assert [ranked[i][0] for i in (100, 101, 102)] == [None] * 3
 
 
+def rounds(monkeypatch):
+    """Counts the lineages cut."""
+    cuts = []
+    for module in (hierarchy, lists):
+        for name in {"cut", "cut_counted"} & set(vars(module)):
+            monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), **k: cuts.append(1) or f(*a, **k))
+    return cuts
+
+
 def test_long_chain_below_a_cycle(spark, monkeypatch):
-    """What hangs below a cycle takes logarithmic rounds too, counted by the lineages cut."""
-    cuts, cut = [], hierarchy.cut
-    monkeypatch.setattr(hierarchy, "cut", lambda *a, **k: cuts.append(1) or cut(*a, **k))
+    """What hangs below a cycle takes logarithmic rounds too."""
+    cuts = rounds(monkeypatch)
     pairs = [("x", "y"), ("y", "x"), ("x", "n000"), *((f"n{i:03}", f"n{i + 1:03}") for i in range(200)), ("root", "a")]
-    assert cyclic(spark, rows(pairs), peel_rounds=2) == brute_cyclic(pairs)
+    assert cyclic(spark, rows(pairs)) == brute_cyclic(pairs)
     assert len(cuts) < 30
+
+
+def test_high_chain_with_a_node_of_two_parents(spark, monkeypatch):
+    """The rounds are logarithmic in the height, also where a node has several parents, and with all nodes in one list."""
+    cuts, n = rounds(monkeypatch), 100_000
+    chain = spark.range(n).selectExpr("'p' AS project", "concat('n', id) AS source_stable_id", "concat('n', id + 1) AS target_stable_id", "'DECLARES' AS kind")
+    more = spark.createDataFrame(rows([("n7", "n50000"), ("n99999", "n60000")]), EDGES).select(chain.columns)
+    assert hierarchy.cyclic_nodes(chain.union(more)).count() == n - 60_000 + 1
+    assert len(cuts) < 60
+
+
+def test_hot_parent(spark):
+    """A parent of most nodes, most of them leaves."""
+    pairs = [("r", f"c{i:04}") for i in range(3000)] + [(f"c{i:04}", f"d{i}") for i in range(0, 3000, 10)] + [("s", "s"), *(("s", f"t{i}") for i in range(50))]
+    found = hierarchy.hierarchies(spark.createDataFrame(rows(pairs), EDGES)).collect()
+    assert len(found) == 3301 and {r.n_descendants for r in found if r.stable_id == "r"} == {3300}
+    assert len(cyclic(spark, rows(pairs))) == 51
