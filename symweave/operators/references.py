@@ -1,17 +1,23 @@
 """References to records that do not exist (problem 2).
 
-Each reference (a key, a period, a moment) is held against the validity intervals of the referenced records. A
-moment is covered by an interval that began in an earlier period exactly if the latest end among those intervals lies
-after it, so the records shrink to one row per key and period, however many versions a key has. Keys that hold more
-than a thousandth of all references are found by a pre-aggregation; there are fewer than a thousand of them, so
-their validity is broadcast and their references are never shuffled. All other keys go through a shuffled join.
+Each reference (a key, a period, a moment) is held against the validity intervals of the referenced records. A moment
+is covered by an interval that began in an earlier period exactly if the latest end among those intervals lies after
+it, so the records shrink to one row per key, with one element for each period in which a version began. References are
+pre-aggregated per key and period. Keys with more than a thousandth of all references are heavy: there are fewer than a
+thousand of them, their validity is broadcast and their references stay where they are. All other keys go through a
+shuffled anti-join, and both orphan sets are united.
+
+Only a reference in the very period in which a version of its key began can need the versions themselves. Those few are
+put in order with the versions, minute by minute, so that no key, however hot, is in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symweave.session import cut
+
 #: A key with at least this share of all references is heavy; so there are at most 1 / HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 0.001
 FAR = "TIMESTAMP_NTZ '9999-12-31 00:00:00'"
@@ -41,6 +47,70 @@ def _versions(nodes: DataFrame) -> DataFrame:
     )
 
 
+KEY = ["project", "ref"]
+
+
+def _per_period(refs: DataFrame) -> DataFrame:
+    """(project, side, ref, day, n): the references of each key and period."""
+    return refs.groupBy(*KEY, "side", "day").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _heavy_keys(refs: DataFrame, n_references: int, share: float) -> DataFrame:
+    """The keys with at least the share of all references, so at most 1 / share of them."""
+    per_key = _per_period(refs).groupBy(*KEY).agg(F.sum("n").alias("n"))
+    return per_key.where(F.col("n") >= max(2, int(n_references * share))).select(*KEY)
+
+
+def _periods(versions: DataFrame) -> DataFrame:
+    """(project, ref, periods): for each period in which versions of the key began, their latest end; bounded by the calendar."""
+    per_day = versions.groupBy(*KEY, "day").agg(F.max("ends").alias("ends"))
+    return per_day.groupBy(*KEY).agg(F.collect_list(F.struct("day", "ends")).alias("periods"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The references that no version from an earlier period covers, with maybe: whether a version of their key began
+    in their own period."""
+    earlier = F.array_max(F.transform(F.filter("periods", lambda p: p.day < F.col("day")), lambda p: p.ends))
+    same_day = F.coalesce(F.exists("periods", lambda p: p.day == F.col("day")), F.lit(False))
+    return rows.withColumn("maybe", same_day).where(~F.coalesce(earlier > F.col("at"), F.lit(False))).drop("periods")
+
+
+def _uncovered(maybe: DataFrame, versions: DataFrame) -> DataFrame:
+    """Those of the references that no version of their own period covers either.
+
+    Versions and references of a key are put in order within each minute. What covers from the minutes before is the
+    latest end up to there, from one row for each minute, of which a day has no more than 1,440.
+    """
+    minute = lambda c: (60 * F.hour(c) + F.minute(c)).cast("int")
+    timed = maybe.withColumn("minute", minute("at"))
+    begun = versions.withColumn("minute", minute("begins"))
+    never, no_row = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast(maybe.schema.simpleString())
+    by = [*KEY, "day", "minute"]
+    marks = begun.groupBy(*by).agg(F.max("ends").alias("ends")).unionByName(timed.select(*by).distinct().withColumn("ends", never))
+    so_far = F.max("ends").over(Window.partitionBy(*KEY, "day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1))
+    carried = marks.groupBy(*by).agg(F.max("ends").alias("ends")).withColumn("ends", so_far).where("ends IS NOT NULL")
+    events = (
+        carried.select(*by, never.alias("moment"), "ends", no_row.alias("row"))
+        .unionByName(begun.select(*by, F.col("begins").alias("moment"), "ends", no_row.alias("row")))
+        .unionByName(timed.select(*by, F.col("at").alias("moment"), never.alias("ends"), F.struct(*maybe.columns).alias("row")))
+    )
+    # At one moment versions come before references: a version is valid from its beginning on.
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_first("moment"), F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.withColumn("until", F.max("ends").over(order)).where("row IS NOT NULL AND NOT coalesce(until > moment, false)")
+    return swept.select("row.*")
+
+
+def _orphans(edges: DataFrame, nodes: DataFrame, heavy_share: float) -> DataFrame:
+    """As orphan_references, with heavy: whether the key is heavy (null if not)."""
+    refs, versions = reference_rows(edges), _versions(nodes)
+    periods = _periods(versions)
+    heavy = _heavy_keys(refs, 2 * edges.count(), heavy_share)
+    marked = refs.join(F.broadcast(heavy.join(periods, KEY, "left").withColumn("heavy", F.lit(True))), KEY, "left")
+    others = marked.where("heavy IS NULL").drop("periods").join(periods, KEY, "left")
+    left = cut(_open(marked.where("heavy").unionByName(others)))
+    return left.where("NOT maybe").drop("maybe").unionByName(_uncovered(left.where("maybe").drop("maybe"), versions))
+
+
 def orphan_references(edges: DataFrame, nodes: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """(edge_id, side, project, ref, at, day) of each reference without a record that is valid at its moment.
 
@@ -48,40 +118,19 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, heavy_share: float = H
     reference with a null project or a null moment has no valid record. Repeated rows of records make no
     difference, each repeated row of a reference comes out, and further columns of either input are ignored.
     """
-    refs, versions = reference_rows(edges), _versions(nodes)
-    key = ["project", "ref"]
-    # One element for each period in which versions of the key began: bounded by the calendar, not by the rows.
-    periods = (
-        versions.groupBy(*key, "day")
-        .agg(F.max("ends").alias("ends"))
-        .groupBy(*key)
-        .agg(F.collect_list(F.struct("day", "ends")).alias("periods"))
-    )
-    least = max(2, int(2 * edges.count() * heavy_share))
-    heavy = refs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*key)
-    heavy_periods = F.broadcast(heavy.join(periods, key, "left").withColumn("heavy", F.lit(True)))
-    marked = refs.join(heavy_periods, key, "left")
-    light = marked.where("heavy IS NULL").drop("periods", "heavy").join(periods, key, "left")
-    checked = marked.where("heavy").drop("heavy").unionByName(light)
-
-    earlier = F.array_max(F.transform(F.filter("periods", lambda p: p.day < F.col("day")), lambda p: p.ends))
-    same_day = F.coalesce(F.exists("periods", lambda p: p.day == F.col("day")), F.lit(False))
-    open_rows = checked.where(~F.coalesce(earlier > F.col("at"), F.lit(False))).withColumn("maybe", same_day).drop("periods")
-    # Only references in the very period in which a version of their key began need the versions themselves.
-    begun = versions.groupBy(*key, "day", "begins").agg(F.max("ends").alias("ends"))
-    r, v = open_rows.alias("r"), begun.alias("v")
-    same_key = (F.col("r.project") == F.col("v.project")) & (F.col("r.ref") == F.col("v.ref")) & (F.col("r.day") == F.col("v.day"))
-    covered = F.col("r.maybe") & (F.col("v.begins") <= F.col("r.at")) & (F.col("v.ends") > F.col("r.at"))
-    return r.join(v, same_key & covered, "left_anti").drop("maybe")
+    return _orphans(edges, nodes, heavy_share).drop("heavy")
 
 
-def orphan_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def orphan_counts(edges: DataFrame, nodes: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """Per project, side and day: the references, those without a valid record, and the missing keys.
 
-    Days are those of the edge's loaded_at, null for a null moment. Days without orphans come out with zero.
+    Days are those of the edge's loaded_at, null for a null moment. Days without orphans come out with zero. The counts
+    of heavy keys and of all others are united.
     """
     by = ["project", "side", "day"]
-    total = reference_rows(edges).groupBy(*by).agg(F.count(F.lit(1)).alias("n_references"), F.lit(0).cast("bigint").alias("n_orphans"), F.lit(0).cast("bigint").alias("n_missing_keys"))
-    per_key = orphan_references(edges, nodes).groupBy(*by, "ref").agg(F.count(F.lit(1)).alias("n"))
-    lost = per_key.groupBy(*by).agg(F.lit(0).cast("bigint").alias("n_references"), F.sum("n").alias("n_orphans"), F.count(F.lit(1)).alias("n_missing_keys"))
-    return total.unionByName(lost).groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n_references", "n_orphans", "n_missing_keys")))
+    zero = F.lit(0).cast("bigint")
+    counts = _per_period(reference_rows(edges)).groupBy(*by).agg(F.sum("n").alias("n_references"), zero.alias("n_orphans"), zero.alias("n_missing_keys"))
+    lost = _orphans(edges, nodes, heavy_share)
+    for part in (lost.where("heavy"), lost.where("heavy IS NULL")):
+        counts = counts.unionByName(_per_period(part).groupBy(*by).agg(zero.alias("n_references"), F.sum("n").alias("n_orphans"), F.count(F.lit(1)).alias("n_missing_keys")))
+    return counts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n_references", "n_orphans", "n_missing_keys")))

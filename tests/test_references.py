@@ -44,3 +44,14 @@ def test_empty_tables_and_counts(spark, at):
     assert run(spark, edges, []) == [(1, "source"), (1, "target"), (2, "source")]
     counts = references.orphan_counts(spark.createDataFrame(edges, EDGES), spark.createDataFrame([("p", "b", at(0), None, "x", 1)], NODES)).collect()
     assert {(r.side, str(r.day), r.n_references, r.n_orphans, r.n_missing_keys) for r in counts} == {("source", "2026-03-01", 1, 1, 1), ("target", "2026-03-01", 1, 0, 0), ("source", "2026-03-02", 1, 1, 1)}
+
+
+def test_hot_keys_are_broadcast_and_many_versions_of_a_day(spark, at):
+    """A valid and a missing key of a quarter of all references each, and a key with versions every other minute."""
+    nodes = [("p", "valid", at(0), None, "x", 1)] + [("p", "busy", at(i / 30), at(i / 30 + 1 / 60), "x", 1) for i in range(900)]
+    refs = ["valid", "missing", "busy", *(f"k{i}" for i in range(90))]
+    edges = [(i, "p", refs[i % 2] if i % 4 < 2 else refs[2 + i % 91], None, at(i / 50), "x", "y") for i in range(1500)]
+    df = references.orphan_references(spark.createDataFrame(edges, EDGES), spark.createDataFrame(nodes, NODES), heavy_share=0.1)
+    assert sorted((r.edge_id, r.side) for r in df.collect()) == brute(edges, nodes)
+    counts = references.orphan_counts(spark.createDataFrame(edges, EDGES), spark.createDataFrame(nodes, NODES), heavy_share=0.1).collect()
+    assert sum(r.n_orphans for r in counts) == len(brute(edges, nodes)) and sum(r.n_references for r in counts) == 1500
