@@ -37,6 +37,13 @@ def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.selectExpr("doc_id", "CAST(char_length(text) AS BIGINT) AS n_chars", "md5(text) AS digest")
 
 
+def p6_decoded_rare(spark: SparkSession, folder: str) -> DataFrame:
+    """As p6_decoded, with only the thousand most frequent words broadcast, so that most words take the shuffled join."""
+    encoded = tokens.encode_corpus(table(spark, folder, "documents"), head=1000)
+    decoded = tokens.decode_corpus(encoded, tokens.piece_table(spark))
+    return decoded.selectExpr("doc_id", "CAST(char_length(text) AS BIGINT) AS n_chars", "md5(text) AS digest")
+
+
 def p7_packs(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_corpus(table(spark, folder, "documents"), table(spark, folder, "pack_budgets"))
 
@@ -58,8 +65,11 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_sketches, p5_found, p5_rates, p6_ids, p6_decoded, p7_packs, p7_fill, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_sketches, p5_found, p5_rates, p6_ids, p6_decoded, p6_decoded_rare, p7_packs, p7_fill, p8_found, p8_restored)}
+
+_DIGESTS = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents"
 
 SQL = {
-    "p6_decoded": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
+    "p6_decoded": _DIGESTS,
+    "p6_decoded_rare": _DIGESTS,
 }

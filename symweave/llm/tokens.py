@@ -1,8 +1,9 @@
 """Encoding of the whole corpus with a public tokenizer (problem 6).
 
 The texts are split into words by a regular expression inside Spark, each distinct word of the corpus is encoded once
-into a word table, and the ids come back by position. The table is broadcast if it is no larger than MAX_WORDS; beyond
-that only its most frequent words are, and the other occurrences are joined by a shuffle.
+into a word table, and the ids come back by position. The most frequent words are broadcast, as many as fit a bound;
+a word beyond it is in fewer texts than all of them, so none is hot, and its ids come through a shuffled join. Words
+longer than WORD_BYTES (rules, white space, encoded data) are in no table and are encoded where they stand.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from symweave.session import cut
 
 #: Folder of the vocabulary files.
 FOLDER = "/opt/tokenizers"
-#: Words of the table that are broadcast at most, each of at most MAX_WORD_BYTES.
-MAX_WORDS, MAX_WORD_BYTES = 1_000_000, 128
+#: Words that are broadcast at most, and the longest words of the table in bytes.
+HEAD_WORDS, WORD_BYTES = 1_000_000, 128
 #: Byte-level tokenizers, which never merge across words.
 WORD_LEVEL = ("byte_bpe_50k", "byte_bpe_multi_50k")
 # The published word pattern of the byte-level vocabularies, for the library and, with Unicode white space, for Spark.
@@ -65,8 +66,8 @@ def encoder(name: str, folder: str = FOLDER):
 
 
 def word_table(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
-    """(word, n_docs, ids): each distinct word of docs.text with the number of texts that hold it and its ids."""
-    counted = docs.select(F.explode(F.array_distinct(words("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
+    """(word, n_docs, ids): each distinct word of docs.text of up to WORD_BYTES, with the number of texts that hold it and its ids."""
+    counted = docs.select(F.explode(F.array_distinct(words("text"))).alias("word")).where(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -75,6 +76,25 @@ def word_table(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER
     return counted.mapInPandas(encode, "word string, n_docs bigint, ids array<int>")
 
 
+def _rarity() -> F.Column:
+    """Words by the binary order of magnitude of their texts, in eighths: some hundred steps, however many words there are."""
+    return F.floor(8 * F.log2("n_docs")).cast("int")
+
+
+def head_words(table: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The most frequent words, no more than so many, and whether that is all of the table.
+
+    A histogram of the steps of _rarity gives the least frequency that is still broadcast, so nothing is sorted.
+    """
+    steps = sorted(((r.step, r["count"]) for r in table.groupBy(_rarity().alias("step")).count().collect()), reverse=True)
+    kept, least = 0, None
+    for step, n in steps:
+        if kept + n > most:
+            break
+        kept, least = kept + n, step
+    return table.where(_rarity() >= least) if least is not None else table.limit(0), kept == sum(n for _, n in steps)
+
+
 def _gather(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The pieces flat[start : start + length], one after the other."""
     ends = np.cumsum(lengths)
@@ -88,7 +108,7 @@ def _list_parts(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(offsets) else column.values, offsets - offsets[0]
 
 
-def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER, max_words: int = MAX_WORDS) -> DataFrame:
+def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = FOLDER, head: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, ids) for each row of docs, ids of a word-level tokenizer without special tokens.
 
     Null and empty texts have an empty list; strings of special tokens within a text are ordinary text; texts of any
@@ -97,38 +117,46 @@ def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = FOL
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     table = cut(word_table(docs, name, folder))
-    head, whole = table, table.count() <= max_words and not table.where(F.octet_length("word") > MAX_WORD_BYTES).head(1)
-    if not whole:
-        head = cut(table.where(F.octet_length("word") <= MAX_WORD_BYTES).orderBy(F.desc("n_docs"), "word").limit(max_words))
-    known = spark.sparkContext.broadcast(_pack_table(head))
+    frequent, all_known = head_words(table, head)
+    known = spark.sparkContext.broadcast(_pack_table(frequent))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, starts, lengths, flat = _unpack_table(known.value)
         for b in batches:
             values, offsets = _list_parts(b.column("words"))
             coded = values.dictionary_encode()
-            # A word outside the head has the id -1 until its ids come from the shuffled join.
-            at = pc.fill_null(pc.index_in(coded.dictionary, value_set=vocabulary), len(vocabulary)).to_numpy()[coded.indices.to_numpy()]
-            ends = np.concatenate(([0], np.cumsum(lengths[at])))[offsets]
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_gather(starts[at], lengths[at], flat), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), ids], ["doc_id", "h", "ids"])
-
-    split = docs.select("doc_id", (F.lit(0).cast("bigint") if whole else F.xxhash64("text")).alias("h"), words("text").alias("words"))
-    known_ids = split.mapInArrow(gather, "doc_id bigint, h bigint, ids array<int>")
-    if whole:
-        return known_ids.drop("h")
-    occurrence = split.select("doc_id", "h", F.posexplode("words").alias("at", "word"))
-    rare = occurrence.join(F.broadcast(head.select("word")), "word", "left_anti").distinct().join(table.select("word", F.col("ids").alias("piece")), "word")
-    fills = rare.groupBy("doc_id", "h").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x.piece).alias("fills"))
-    gap = F.transform("ids", lambda x, i: F.struct(x.alias("id"), i.alias("i")))
-    gaps = F.transform(F.filter(gap, lambda x: x.id == -1), lambda x: x.i)
-    filled = known_ids.join(fills, ["doc_id", "h"], "left").withColumn("gaps", gaps)
+            distinct = pc.fill_null(pc.index_in(coded.dictionary, value_set=vocabulary), len(vocabulary)).to_numpy().astype(np.int64)
+            own_starts, own_lengths, own_flat = starts, lengths, flat
+            # The unknown word's id -1 stays in its place until the join brings its ids; long words get theirs here.
+            long = np.flatnonzero(pc.greater(pc.binary_length(coded.dictionary), WORD_BYTES).to_numpy(zero_copy_only=False))
+            if len(long):
+                pieces = [np.array(i, np.int32) for i in encoder(name, folder)(coded.dictionary.take(pa.array(long)).to_pylist())]
+                own_lengths = np.concatenate((lengths, [len(i) for i in pieces]))
+                own_starts = np.concatenate((starts, len(flat) + np.cumsum([0] + [len(i) for i in pieces])[:-1]))
+                own_flat = np.concatenate((flat, *pieces))
+                distinct[long] = len(lengths) + np.arange(len(long))
+            at = distinct[coded.indices.to_numpy()]
+            ends = np.concatenate(([0], np.cumsum(own_lengths[at])))[offsets]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_gather(own_starts[at], own_lengths[at], own_flat), pa.int32()))
+            missing = np.flatnonzero(at == len(vocabulary))
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(missing, offsets), pa.int32()), values.take(pa.array(missing)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, rare], ["doc_id", "ids", "rare"])
+
+    coded = docs.select("doc_id", words("text").alias("words")).mapInArrow(gather, "doc_id bigint, ids array<int>, rare array<string>")
+    if all_known:
+        return coded.drop("rare")
+    coded = cut(coded.withColumn("row", F.monotonically_increasing_id()))
+    wanted = coded.select("row", F.posexplode("rare").alias("at", "word"))
+    found = wanted.join(table.select("word", F.col("ids").alias("piece")), "word")
+    fills = found.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x.piece).alias("fills"))
+    gaps = F.transform(F.filter(F.transform("ids", lambda x, i: F.struct(x.alias("id"), i.alias("i"))), lambda x: x.id == -1), lambda x: x.i)
+    filled = coded.where("size(rare) > 0").select("row", "doc_id", "ids", gaps.alias("gaps")).join(fills, "row")
     # Each stretch between two gaps, and after each gap the ids that belong into it.
     parts = F.transform(
         F.arrays_zip(F.concat(F.array(F.lit(-1)), "gaps").alias("a"), F.concat("gaps", F.array(F.size("ids"))).alias("b"), F.concat("fills", F.array(F.array().cast("array<int>"))).alias("f")),
         lambda z: F.concat(F.slice("ids", z.a + 2, z.b - z.a - 1), z.f),
     )
-    return filled.select("doc_id", F.when(F.col("fills").isNull(), F.col("ids")).otherwise(F.flatten(parts)).alias("ids"))
+    return coded.where("size(rare) = 0").select("doc_id", "ids").unionByName(filled.select("doc_id", F.flatten(parts).alias("ids")))
 
 
 def _pack_table(head: DataFrame) -> bytes:
@@ -162,14 +190,18 @@ def piece_table(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = F
 
 
 def decode_corpus(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(doc_id, text): the text of each row of (doc_id, ids), through the table of pieces.
+    """(doc_id, text): the text of each row of (doc_id, ids), through a join of each id with its piece.
 
-    The pieces (a table of fixed size) are joined as one array in order of id, so that no row of ids is taken apart.
-    An empty list gives an empty text; an id without a piece, or a null list, gives null.
+    The pieces are a vocabulary of fixed size, which is checked before it is broadcast. An empty list gives an empty
+    text; an id without a piece, or a null list, gives null. Repeated rows come out as often as they are there.
     """
-    ordered = pieces.groupBy(F.lit(0).alias("k")).agg(F.array_sort(F.collect_list(F.struct("id", F.hex("piece").alias("piece")))).alias("all"))
-    by_id = ordered.select("k", F.transform("all", lambda x: x.piece).alias("pieces"))
-    joined = encoded.withColumn("k", F.lit(0)).join(F.broadcast(by_id), "k")
-    hexes = F.transform("ids", lambda i: F.get("pieces", i))
-    known = ~F.exists(hexes, lambda h: h.isNull())
-    return joined.select("doc_id", F.when(known, F.decode(F.unhex(F.array_join(hexes, "")), "UTF-8")).alias("text"))
+    known = pieces.select("id", F.hex("piece").alias("piece"))
+    known = F.broadcast(known) if known.count() <= HEAD_WORDS else known
+    rows = encoded.select("doc_id", F.monotonically_increasing_id().alias("row"), "ids")
+    each = rows.select("doc_id", "row", F.col("ids").isNull().alias("lost"), F.posexplode_outer("ids").alias("at", "id")).join(known, "id", "left")
+    whole = each.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.bool_or(F.col("lost") | F.col("at").isNotNull() & F.col("piece").isNull()).alias("lost"),
+        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece")))).alias("parts"),
+    )
+    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x.piece), "")), "UTF-8")
+    return whole.select("doc_id", F.when(~F.col("lost"), text).alias("text"))

@@ -25,9 +25,9 @@ def library(texts):
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("most", [tokens.MAX_WORDS, 3])
+@pytest.mark.parametrize("most", [tokens.HEAD_WORDS, 3])
 def test_same_ids_as_the_library_and_back(spark, most):
-    encoded = tokens.encode_corpus(documents(spark, TEXTS + TEXTS), max_words=most)
+    encoded = tokens.encode_corpus(documents(spark, TEXTS + TEXTS), head=most)
     assert [list(r.ids) for r in encoded.orderBy("doc_id").collect()] == library(TEXTS + TEXTS)
     texts = tokens.decode_corpus(encoded, tokens.piece_table(spark)).orderBy("doc_id").collect()
     assert [r.text for r in texts] == [t or "" for t in TEXTS + TEXTS]
@@ -35,8 +35,8 @@ def test_same_ids_as_the_library_and_back(spark, most):
 
 def test_repeated_rows_and_ids(spark):
     twice = spark.createDataFrame([(1, "a rare word"), (1, "a rare word"), (1, "another rarer text"), (2, None)], "doc_id long, text string")
-    for most in (tokens.MAX_WORDS, 2):
-        got = sorted(list(r.ids) for r in tokens.encode_corpus(twice, max_words=most).collect())
+    for most in (tokens.HEAD_WORDS, 2):
+        got = sorted(list(r.ids) for r in tokens.encode_corpus(twice, head=most).collect())
         assert got == sorted(library(["a rare word"] * 2 + ["another rarer text", None]))
 
 
