@@ -1,8 +1,9 @@
 """Source files that do not parse (problem 5).
 
-Each file is cut into chunks of whole lines. A chunk becomes a map from the lexer's state at its start to the state at
-its end, its tokens and its unmatched brackets. The maps of a file are folded in order; then its balanced groups and
-statements are held against the local grammars of its language.
+Each file is cut into chunks. A chunk becomes a map from the lexer's state at its start to the state at its end, its
+tokens and its unmatched brackets. Maps of neighbouring chunks are joined, which is associative: first within each task,
+whose chunks of a large file are a part of it only, then for each file. Its balanced groups and statements are held
+against the local grammars of its language at last.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from symweave.llm.syntax.java import Java
 from symweave.llm.syntax.rust import Rust
 from symweave.llm.syntax.shapes import WRONG, Bad
 
-#: A chunk ends at the first line end after so many characters.
+#: A chunk ends at the first line end after so many characters, or, if none follows soon, behind a comma or semicolon.
 CHUNK = 24_000
+#: Neighbouring chunks of a file that are lexed in one task; files with more of them are spread over several.
+SPAN = 64
 #: More frames than the grammars need for each token, however deep groups and statements are nested.
 FRAMES = 64
 LANGUAGES = ("java", "rust", "json", "toml")
@@ -58,32 +61,57 @@ def source_files(docs: DataFrame, extensions: DataFrame) -> DataFrame:
     return files.join(known, "extension").drop("extension")
 
 
-def checked_files(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def _joined(parts: list[tuple[int, int, lexing.Map]], language: str) -> list[tuple[int, int, lexing.Map]]:
+    """Rows (first chunk, last chunk, map) with all neighbours joined; of parts that are given twice the longest counts."""
+    longest = {at: p for p in sorted(parts, key=lambda p: p[1]) for at in (p[0],)}
+    joined: list[tuple[int, int, lexing.Map]] = []
+    for at in sorted(longest):
+        first, last, own = longest[at]
+        if joined and first <= joined[-1][1]:
+            continue
+        if joined and first == joined[-1][1] + 1:
+            start, _, before = joined.pop()
+            first, own = start, lexing.join(before, own, language == "rust", not start)
+        joined.append((first, last, own))
+    return joined
+
+
+def checked_files(files: DataFrame, chunk: int = CHUNK, span: int = SPAN) -> DataFrame:
     """(doc_id, valid) for each doc_id of rows (doc_id, language, text); rows that are given twice count once.
 
     Empty and blank Java, Rust and TOML files are valid, such JSON files aren't. Texts of any length are looked at
-    whole; only a single line is never cut.
+    whole, and lines of any length are cut; only a single literal or comment without comma and semicolon is not.
     """
-    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{chunk}}}[^\n]*+\n?"), F.lit(0))
-    chunks = files.select("doc_id", "language", F.posexplode_outer(pieces).alias("at", "piece"))
+    piece = rf"(?s).{{1,{chunk}}}(?:[^\n]{{0,{chunk}}}+\n|[^\n]*?(?:\n|[,;](?!')|\z))"
+    cut_up = F.regexp_extract_all("text", F.lit(piece), F.lit(0))
+    at_line_start = lambda p, i: F.struct(p.alias("piece"), ((i > 0) & ~F.endswith(F.get("pieces", i - 1), F.lit("\n"))).alias("within_line"))
+    exploded = lambda df: (
+        df.select("doc_id", "language", cut_up.alias("pieces")).select("doc_id", "language", F.posexplode_outer(F.transform("pieces", at_line_start)).alias("at", "p"))
+        .select("doc_id", "language", F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("p.piece", F.lit("")).alias("piece"), F.coalesce("p.within_line", F.lit(False)).alias("within_line"))
+    )
+    large = F.char_length("text") > span * chunk
+    spread = exploded(files.where(large)).withColumn("part", F.expr(f"at div {span}"))
+    chunks = exploded(files.where(~large)).unionByName(spread.repartition("doc_id", "part").sortWithinPartitions("doc_id", "at").drop("part"))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = zip(b["language"].tolist(), b["at"].fillna(0).tolist(), b["piece"].fillna("").tolist())
-            maps = [([dict(zip(("entry", "exit", "tokens", "brackets"), r)) for r in lexing.chunk_map(t, lang, not at)], lexing.lost_depth(t)) for lang, at, t in own]
-            yield b[["doc_id", "language"]].assign(at=b["at"].fillna(0).astype("int32"), states=[m for m, _ in maps], deeper=[d for _, d in maps])
-
-    schema = "doc_id bigint, language string, at int, states array<struct<entry string, exit string, tokens string, brackets string>>, deeper int"
+            rows = []
+            for (doc, language), own in b.groupby(["doc_id", "language"], sort=False):
+                maps = [(at, at, lexing.chunk_map(t, language, not at, within)) for at, t, within in zip(own["at"].tolist(), own["piece"].tolist(), own["within_line"].tolist())]
+                for first, last, (states, deeper) in _joined(maps, language):
+                    rows.append((doc, language, first, last, [dict(zip(("entry", "exit", "tokens", "brackets"), r)) for r in states], deeper))
+            yield pd.DataFrame(rows, columns=["doc_id", "language", "first", "last", "states", "deeper"])
+
+    schema = "doc_id bigint, language string, first int, last int, states array<struct<entry string, exit string, tokens string, brackets string>>, deeper int"
     maps = chunks.mapInPandas(summarise, schema)
-    whole = maps.groupBy("doc_id", "language").agg(F.array_sort(F.collect_list(F.struct("at", "states", "deeper"))).alias("chunks"))
+    whole = maps.groupBy("doc_id", "language").agg(F.collect_list(F.struct("first", "last", "states", "deeper")).alias("parts"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             valid = []
-            for language, parts in zip(b["language"].tolist(), b["chunks"].tolist()):
-                once = {p["at"]: ([(r["entry"], r["exit"], r["tokens"], r["brackets"]) for r in p["states"]], p["deeper"]) for p in parts}  # repeated rows
-                folded = lexing.fold(list(once.values()), language == "rust")
-                valid.append(parses(folded, language))
+            for language, parts in zip(b["language"].tolist(), b["parts"].tolist()):
+                maps = [(p["first"], p["last"], ([(r["entry"], r["exit"], r["tokens"], r["brackets"]) for r in p["states"]], p["deeper"])) for p in parts]
+                valid.append(parses(lexing.whole_file(_joined(maps, language)[0][2]), language))
             yield b[["doc_id"]].assign(valid=valid)
 
     return whole.mapInPandas(parse, "doc_id bigint, valid boolean")

@@ -2,7 +2,9 @@
 
 The states are N (plain code), K1, K2, ... (a block comment, Rust's ones nested), and of literals over several lines
 T (Java text block, TOML basic string), L (TOML literal string), S (Rust string) and R0, R1, ... (raw string with so
-many signs). A chunk that holds no end of a comment or literal keeps its state; this makes the map finite.
+many signs). Only where a chunk begins within a line there are also Q and A (a string of one line between double or
+single quotes) and C (the rest of a line comment). X is what no text leads out of. A chunk that holds no end of a comment
+or literal keeps its state; this makes the map finite. Maps of neighbouring chunks join to one, in whatever order.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ _STARTS = {
     ),
 }
 _ENDS = {"T": re.compile(r'(?:[^"\\]|\\[\s\S]|"(?!""))*+"{3}(?:"{0,2}(?!"))?'), "L": re.compile(r"(?:[^']|'(?!''))*+'{3,5}"), "S": re.compile(r'(?:[^"\\]|\\[\s\S])*+"')}
+_INSIDE = {
+    ("java", "Q"): re.compile(rf'(?:[^"\\\r\n]|{_ESCAPE_J})*+'), ("json", "Q"): re.compile(r'(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+'),
+    ("toml", "Q"): re.compile(r'(?:[^"\\\x00-\x08\x0a-\x1f\x7f]|\\(?:[btnfr"\\]|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*+'), ("toml", "A"): re.compile(r"[^'\x00-\x08\x0a-\x1f\x7f]*+"),
+    ("java", "C"): re.compile(r"[^\r\n]*+"), ("rust", "C"): re.compile(r"[^\n]*+"), ("toml", "C"): re.compile(r"[^\x00-\x08\x0a-\x1f\x7f]*+"),
+}
+_QUOTES = {"Q": '"', "A": "'"}
 _HEAD = re.compile(r"^\ufeff?(?:#!(?!\s*\[)[^\n]*)?")
 _NEST = re.compile(r"/\*|\*/")
 _MARKS = re.compile("[\x01-\x08]")
@@ -63,9 +71,14 @@ _TOKENS = {
 }
 
 
-def _leave(text: str, state: str, at: int, nested: bool) -> tuple[int, str]:
+def _leave(text: str, state: str, at: int, language: str) -> tuple[int, str]:
     """Where the comment or literal of the state ends in the text, and the state from there on."""
-    kind, depth = state[0], int(state[1:] or 0)
+    kind, depth, nested = state[0], int(state[1:] or 0), language == "rust"
+    if kind in "QAC":
+        at = _INSIDE[language, kind].match(text, at).end()
+        if at == len(text):
+            return at, state
+        return (at, "N") if kind == "C" else (at + 1, "N") if text[at] == _QUOTES[kind] else (len(text), "X")
     if kind == "K":
         for m in _NEST.finditer(text, at):
             depth += (1 if nested else 0) if m.group() == "/*" else -1
@@ -81,10 +94,10 @@ def _leave(text: str, state: str, at: int, nested: bool) -> tuple[int, str]:
 
 def lex(text: str, language: str, state: str = "N") -> tuple[str, str]:
     """(tokens, state at the end) of a chunk, one character for each token; a literal counts where it begins."""
-    starts, nested, marks = _STARTS[language], language == "rust", language == "toml"
+    starts, marks = _STARTS[language], language == "toml"
     parts, at = [], 0
     if state != "N":
-        at, state = _leave(text, state, 0, nested)
+        at, state = _leave(text, state, 0, language)
     while state == "N":
         m = starts.search(text, at)
         piece = text[at : m.start()] if m else text[at:]
@@ -94,14 +107,20 @@ def lex(text: str, language: str, state: str = "N") -> tuple[str, str]:
         at, kind = m.end(), m.lastgroup
         if kind in ("skip", "life", "string", "text"):
             parts.append({"skip": " ", "life": " \x04 ", "string": " \x02 ", "text": " \x03 "}[kind])
+            if kind == "skip" and at == len(text) and m.group()[:2] != "/*":
+                state = "C"
         elif kind == "wrong":
-            parts.append(" \x01 ")
+            quote = next((k for k, q in _QUOTES.items() if q == m.group() and (language, k) in _INSIDE), None)
+            whole = quote is not None and _leave(text, quote, at, language)[1] == quote
+            parts.append(" \x02 " if whole else " \x01 ")
+            if whole:
+                state = quote
         elif kind == "raw" or kind == "signs":
             parts.append(" \x02 ")
-            at, state = _leave(text, f"R{len(m.group('signs'))}", at, nested)
+            at, state = _leave(text, f"R{len(m.group('signs'))}", at, language)
         else:
             parts.append(" " if kind == "open_K" else " \x03 " if marks or kind == "open_T" else " \x02 ")
-            at, state = _leave(text, "K1" if kind == "open_K" else kind[-1], at, nested)
+            at, state = _leave(text, "K1" if kind == "open_K" else kind[-1], at, language)
     pattern, classes = _TOKENS[language]
     return "".join(map(classes.__getitem__, pattern.findall("".join(parts)))), state
 
@@ -123,9 +142,9 @@ def brackets(tokens: str) -> str:
     return "".join(open_)
 
 
-def entries(text: str, language: str) -> list[str]:
+def entries(text: str, language: str, within_line: bool) -> list[str]:
     """The states in which entering the chunk must be looked at; from any other one it is left as it was entered."""
-    found = ["N"]
+    found = ["N", *(kind for lang, kind in _INSIDE if within_line and lang == language)]
     if language in ("java", "rust"):
         depth = deepest = 0
         for m in _NEST.finditer(text):
@@ -146,32 +165,41 @@ def lost_depth(text: str) -> int:
     return text.count("/*") - text.count("*/")
 
 
-def chunk_map(text: str, language: str, first: bool) -> list[tuple[str, str, str, str]]:
-    """(entry state, exit state, tokens, unmatched brackets) of a chunk; of a file's first chunk only from plain code."""
+#: Rows (entry state, exit state, tokens, unmatched brackets) of a chunk, and by how much it deepens a comment around it.
+Map = tuple[list[tuple[str, str, str, str]], int]
+
+
+def chunk_map(text: str, language: str, first: bool, within_line: bool = False) -> Map:
+    """The map of a chunk; of a file's first chunk only from plain code."""
     rows = []
     if first and language == "rust":
         text = _HEAD.sub("", text, count=1)
-    for entry in ["N"] if first else entries(text, language):
+    for entry in ["N"] if first else entries(text, language, within_line):
         tokens, end = lex(text, language, entry)
         rows.append((entry, end, tokens, brackets(tokens)))
-    return rows
-
-
-def fold(maps: list[tuple[list[tuple[str, str, str, str]], int]], nested: bool) -> str | None:
-    """The tokens of a file from the maps of its chunks in order, each with its deepening of comments.
-
-    None if the file ends within a comment or literal, or its brackets don't match across the chunks.
-    """
-    state, parts, open_ = "N", [], ""
-    for rows, deeper in maps:
-        row = next((r for r in rows if r[0] == state), None)
-        if row is None:
-            if state[0] == "K" and nested:
-                state = f"K{int(state[1:]) + deeper}"
-            continue
-        _, state, tokens, unmatched = row
-        parts.append(tokens)
-        open_ = brackets(open_ + unmatched)
-        if open_ and open_[0] in ")]}":
-            return None
-    return None if state != "N" or open_ else "".join(parts)
+    return rows, lost_depth(text)
+
+
+def join(a: Map, b: Map, nested: bool, first: bool = False) -> Map:
+    """The map of two neighbouring chunks together; joining is associative. first: a begins its file."""
+    own, next_ = {r[0] for r in a[0]}, {r[0]: r for r in b[0]}
+    deeper = lambda state, by: f"K{int(state[1:]) + by}" if nested and state[0] == "K" else state
+    rows = []
+    for entry, state, tokens, open_ in a[0]:
+        if state in next_:
+            _, state, more, unmatched = next_[state]
+            rows.append((entry, state, tokens + more, brackets(open_ + unmatched)))
+        else:
+            rows.append((entry, deeper(state, b[1]), tokens, open_))
+    # What leaves a as it entered it goes on as b says.
+    for entry, state, tokens, open_ in [] if first else b[0]:
+        before = deeper(entry, -a[1])
+        if before not in own and (before[0] != "K" or int(before[1:]) > 0):
+            rows.append((before, state, tokens, open_))
+    return rows, a[1] + b[1]
+
+
+def whole_file(m: Map) -> str | None:
+    """The tokens of a file from its map; None if it ends within a comment or literal, or its brackets don't match."""
+    _, state, tokens, open_ = m[0][0]
+    return tokens if state in ("N", "C") and not open_ else None

@@ -45,7 +45,7 @@ INVALID = {
 
 
 def valid(text, language):
-    return s.parses(lexing.fold([(lexing.chunk_map(text, language, True), 0)], language == "rust"), language)
+    return s.parses(lexing.whole_file(lexing.chunk_map(text, language, True)), language)
 
 
 @pytest.mark.parametrize("language", s.LANGUAGES)
@@ -78,8 +78,8 @@ def test_chunks_change_nothing(spark):
     cases = [(i, lang, t) for i, (lang, t) in enumerate((lang, t) for table in (VALID, INVALID) for lang in table for t in table[lang])]
     files = spark.createDataFrame(cases, "doc_id long, language string, text string")
     expected = {i: valid(t, lang) for i, lang, t in cases}
-    for chunk in (1, 40, s.CHUNK):
-        rows = s.checked_files(files.union(files) if chunk == 40 else files, chunk).collect()
+    for chunk, span in ((1, 3), (40, 2), (7, 1000), (s.CHUNK, s.SPAN)):
+        rows = s.checked_files(files.union(files) if chunk == 40 else files, chunk, span).collect()
         assert {r.doc_id: r.valid for r in rows} == expected and len(rows) == len(expected)
 
 
@@ -119,3 +119,36 @@ def test_deep_files(language):
     deep = "(" * DEPTH + "%s" + ")" * DEPTH
     around = "class A { int x = %s; }" if language == "java" else "fn f() { let x = %s; }"
     assert valid(around % (deep % "1"), language) and not valid(around % (deep % "1 1"), language)
+
+
+def test_long_lines(spark):
+    """One line in many tasks: its chunks begin within strings, comments and code."""
+    n = 4000
+    inside = {
+        "json": ("[" + ",".join('"a,b;\\u0041 c"' for _ in range(n)) + ", 1]", ", 1]", ", 1,]"), "toml": ("a = [" + ", ".join("'x, y; z', \"p, q\"" for _ in range(n)) + "] # c, d", "] # c", "]] # c"),
+        "java": ("class A { " + "int a = 1, b; String s = \"x, y; z\"; char c = ','; " * n + "} // e, f; g(", "} //", " //"), "rust": ("fn f() { " + "g(1, \"x, y; z\", ','); " * n + "} // e, f; g(", "} //", " //"),
+    }
+    rows = [(i, lang, text.replace(old, new) if wrong else text) for i, (lang, (text, old, new), wrong) in enumerate((lang, v, w) for lang, v in inside.items() for w in (False, True))]
+    found = s.checked_files(spark.createDataFrame(rows, "doc_id long, language string, text string"), 500, 8).collect()
+    assert {r.doc_id: r.valid for r in found} == {i: valid(t, lang) for i, lang, t in rows} == {i: not i % 2 for i in range(8)}
+
+
+@pytest.mark.parametrize("language", s.LANGUAGES)
+def test_joining_is_associative(language):
+    rng = random.Random(9)
+    for text in VALID[language] + INVALID[language]:
+        ends = [i + 1 for i, c in enumerate(text[:-1]) if c == "\n" or c in ",;" and text[i + 1] != "'"]
+        cuts = [0, *sorted(rng.sample(ends, min(len(ends), 6))), len(text)]
+        pieces = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        maps = [lexing.chunk_map(t, language, not i, i > 0 and not pieces[i - 1].endswith("\n")) for i, t in enumerate(pieces)]
+        while len(maps) > 1:
+            at = rng.randrange(len(maps) - 1)
+            maps[at : at + 2] = [lexing.join(maps[at], maps[at + 1], language == "rust", not at)]
+        assert s.parses(lexing.whole_file(maps[0]), language) == valid(text, language), text
+
+
+def test_ten_thousand_levels():
+    n = 10_000
+    assert valid("[" * n + "]" * n, "json") and not valid("[" * n + "]" * (n - 1), "json") and valid("a = " + "[" * n + "{b = 1}, 2" + "]" * n, "toml")
+    assert not valid("a = " + "[" * n + "]" * (n + 1), "toml") and not valid("a = " + "[" * n + "b" + "]" * n, "toml") and not valid('{"a":' * n + "1" + "}" * (n - 1) + "]", "json")
+    assert valid("class A { int x = %s1%s; }" % ("(" * n, ")" * n), "java") and valid("fn f() { let x = %s1%s; }" % ("(" * n, ")" * n), "rust")
