@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symweave.llm import tokens
+from symweave.session import cut
 
 #: Items that are sorted by size together, and containers that stay open at most.
 WINDOW, OPEN = 1024, 512
@@ -65,9 +66,9 @@ def _word_vectors(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def measured(docs: DataFrame, names: list[str], folder: str = tokens.FOLDER) -> DataFrame:
-    """(doc_id, sizes, key): the tokens of each text under each named tokenizer, and its place on the curve.
+    """(doc_id, sizes, key, cell): the tokens of each text under each named tokenizer, and its place on the curve and in space.
 
-    Null and empty texts have no tokens; they and texts without letters lie in the middle.
+    Null and empty texts have no tokens; they and texts without letters lie in the middle, and have no cell.
     """
     other = [n for n in names if n not in tokens.WORD_LEVEL]
     text = F.coalesce("text", F.lit("")) if other else F.lit("")
@@ -92,10 +93,12 @@ def measured(docs: DataFrame, names: list[str], folder: str = tokens.FOLDER) ->
             cells = np.clip((centre + REACH) / (2 * REACH), 0, 1) * ((1 << BITS) - 1)
             flat = np.stack(sizes, axis=1).reshape(-1) if sizes else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(names), pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(hilbert_key(cells.astype(np.int64)))], ["doc_id", "sizes", "key"])
+            worded = total(counts.astype(np.int64)[at]) > 0
+            place = pa.array([c if w else None for c, w in zip(cells.astype(np.int32).tolist(), worded.tolist())], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(hilbert_key(cells.astype(np.int64))), place], ["doc_id", "sizes", "key", "cell"])
 
     columns = docs.select("doc_id", tokens.words("text").alias("words"), text.alias("text"))
-    return columns.mapInArrow(measure, "doc_id bigint, sizes array<int>, key bigint")
+    return columns.mapInArrow(measure, "doc_id bigint, sizes array<int>, key bigint, cell array<int>")
 
 
 class _Packer:
@@ -157,13 +160,16 @@ def pack(sized: DataFrame) -> DataFrame:
 
 
 def pack_corpus(docs: DataFrame, budgets: DataFrame, folder: str = tokens.FOLDER) -> DataFrame:
-    """The packs of all texts for each budget. Budgets (a table that doesn't grow) without a positive capacity are left out."""
-    limits = budgets.where("capacity_tokens > 0").select("budget_id", "tokenizer", F.col("capacity_tokens").alias("capacity"))
-    names = sorted(r.tokenizer for r in limits.select("tokenizer").distinct().collect())
-    order = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("tokenizer")).cast("int")
-    sizes = measured(docs, names, folder)
-    by_budget = sizes.join(F.broadcast(limits.withColumn("nth", order)), F.size("sizes") >= F.col("nth"))
-    return pack(by_budget.select("budget_id", "capacity", "doc_id", F.element_at("sizes", F.col("nth")).alias("size"), "key"))
+    """The packs of all texts for each budget. Budgets (a table that doesn't grow) without a positive capacity are left out.
+
+    The texts are measured once: sizes and keys are kept, which is little, and what follows reads only them.
+    """
+    limits = [(r.budget_id, r.tokenizer, r.capacity_tokens) for r in budgets.where("capacity_tokens > 0").select("budget_id", "tokenizer", "capacity_tokens").distinct().collect()]
+    names = sorted({tokenizer for _, tokenizer, _ in limits})
+    sizes = cut(measured(docs, names, folder).drop("cell"))
+    one = lambda budget, tokenizer, capacity: F.struct(F.lit(budget).cast("bigint").alias("budget_id"), F.lit(capacity).cast("int").alias("capacity"), F.get("sizes", F.lit(names.index(tokenizer))).alias("size"))
+    each = F.array(*(one(*b) for b in limits)) if limits else F.array().cast("array<struct<budget_id: bigint, capacity: int, size: int>>")
+    return pack(sizes.select("doc_id", "key", F.explode(each).alias("b")).select("b.budget_id", "b.capacity", "doc_id", "b.size", "key"))
 
 
 def fill_report(packs: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -176,3 +182,39 @@ def fill_report(packs: DataFrame, budgets: DataFrame) -> DataFrame:
         F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_packs"),
         (1 - F.col("n_tokens") / (F.col("n_packs") * F.col("capacity_tokens"))).alias("unused_share"),
     )
+
+
+def check_report(packs: DataFrame, docs: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Per budget: texts, texts without a pack, with gaps between their pieces or split without need, and packs above the capacity.
+
+    docs have distinct doc_ids. Budgets come from a table that doesn't grow.
+    """
+    limits = F.broadcast(budgets.where("capacity_tokens > 0").select("budget_id", F.col("capacity_tokens").alias("capacity")))
+    size = F.col("end_token") - F.col("start_token")
+    texts = packs.groupBy("budget_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"), F.min("start_token").alias("first"), F.max("end_token").alias("last"), F.max("piece").alias("piece"))
+    least = F.greatest(F.ceil(F.col("size") / F.col("capacity")), F.lit(1))
+    per_text = texts.join(limits, "budget_id").groupBy("budget_id").agg(
+        F.count(F.lit(1)).alias("n_packed"), F.count_if((F.col("first") != 0) | (F.col("last") != F.col("size")) | (F.col("piece") != F.col("n") - 1)).alias("n_gaps"), F.count_if(F.col("n") > least).alias("n_split")
+    )
+    full = packs.groupBy("budget_id", "pack_id").agg(F.sum(size).alias("used")).join(limits, "budget_id").groupBy("budget_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_above"))
+    unknown = packs.select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n_unknown"))
+    n = docs.agg(F.count(F.lit(1)).alias("n_texts"))
+    # The counts are one row each; the budgets are few.
+    return limits.join(per_text, "budget_id", "left").join(full, "budget_id", "left").join(F.broadcast(n)).join(F.broadcast(unknown)).select(
+        "budget_id", "n_texts", (F.col("n_texts") - F.coalesce("n_packed", F.lit(0)) + F.col("n_unknown")).alias("n_missing"), F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"),
+        F.coalesce("n_split", F.lit(0)).alias("n_split"), F.coalesce("n_above", F.lit(0)).alias("n_above"),
+    )
+
+
+def locality_report(packs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(budget_id, n_texts, spread): how far the texts of a pack lie apart, as a share of how far all texts do.
+
+    Packs filled at random have a spread of about 1 less one pack's share. Only texts with letters, packed whole, count.
+    """
+    cells = measured(docs, []).where("cell IS NOT NULL").select("doc_id", *(F.col("cell")[i].cast("double").alias(f"c{i}") for i in range(DIMENSIONS)))
+    placed = packs.where("piece = 0").select("budget_id", "pack_id", "doc_id").join(cells, "doc_id")
+    axes = [f"c{i}" for i in range(DIMENSIONS)]
+    per_pack = placed.groupBy("budget_id", "pack_id").agg(F.count(F.lit(1)).alias("n"), *(F.var_pop(c).alias(f"v_{c}") for c in axes), *(F.sum(c).alias(f"s_{c}") for c in axes), *(F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in axes))
+    within = sum((F.sum(F.col("n") * F.col(f"v_{c}")) for c in axes), F.lit(0.0))
+    total = sum((F.sum(f"q_{c}") - F.sum(f"s_{c}") * F.sum(f"s_{c}") / F.sum("n") for c in axes), F.lit(0.0))
+    return per_pack.groupBy("budget_id").agg(F.sum("n").alias("n_texts"), (within / total).alias("spread"))
