@@ -285,7 +285,7 @@ def _cut_off(text: str, chain: Chain) -> bool:
 
 def _utf8_inside(text: str) -> bool:
     """Whether text can be read back as UTF-8 that was read in a single-byte encoding."""
-    return any((u := invert(text, (("utf-8", r),))) is not None and len(u) < len(text) for r in SINGLE[:10])
+    return any((u := invert(text, (("utf-8", r),))) is not None and len(u) < len(text) for r in SINGLE)
 
 
 def _fit(texts: list[str], counts: list[int], spark: SparkSession, known: list[Chain]) -> Model:
