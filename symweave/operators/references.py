@@ -3,7 +3,7 @@
 Each reference (a key, a period, a moment) is held against the validity intervals of the referenced records. A moment
 is covered by an interval that began in an earlier period exactly if the latest end among those intervals lies after
 it, so the records shrink to one row per key, with one element for each period in which a version began. References are
-pre-aggregated per key and period. Keys with more than a thousandth of all references are heavy: there are fewer than a
+pre-aggregated per key (as its hash) and period. Keys with more than a thousandth of all references are heavy: there are fewer than a
 thousand of them, their validity is broadcast and their references stay where they are. All other keys go through a
 shuffled anti-join, and both orphan sets are united.
 
@@ -56,9 +56,13 @@ def _per_period(refs: DataFrame) -> DataFrame:
 
 
 def _heavy_keys(refs: DataFrame, n_references: int, share: float) -> DataFrame:
-    """The keys with at least the share of all references, so at most 1 / share of them."""
-    per_key = _per_period(refs).groupBy(*KEY).agg(F.sum("n").alias("n"))
-    return per_key.where(F.col("n") >= max(2, int(n_references * share))).select(*KEY)
+    """(h): the hashes of the keys with at least the share of all references, so at most 1 / share of them."""
+    per_period = refs.groupBy(_hash().alias("h"), "day").agg(F.count(F.lit(1)).alias("n"))
+    return per_period.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, int(n_references * share))).select("h")
+
+
+def _hash() -> F.Column:
+    return F.xxhash64(*KEY)
 
 
 def _periods(versions: DataFrame) -> DataFrame:
@@ -105,9 +109,12 @@ def _orphans(edges: DataFrame, nodes: DataFrame, heavy_share: float) -> DataFram
     refs, versions = reference_rows(edges), _versions(nodes)
     periods = _periods(versions)
     heavy = _heavy_keys(refs, 2 * edges.count(), heavy_share)
-    marked = refs.join(F.broadcast(heavy.join(periods, KEY, "left").withColumn("heavy", F.lit(True))), KEY, "left")
-    others = marked.where("heavy IS NULL").drop("periods").join(periods, KEY, "left")
-    left = cut(_open(marked.where("heavy").unionByName(others)))
+    heavy = F.broadcast(heavy.withColumn("heavy", F.lit(True)))
+    marked = refs.withColumn("h", _hash()).join(heavy, "h", "left").drop("h")
+    hot_periods = F.broadcast(periods.withColumn("h", _hash()).join(heavy, "h", "left_semi").drop("h"))
+    hot = marked.where("heavy").join(hot_periods, KEY, "left")
+    others = marked.where("heavy IS NULL").join(periods, KEY, "left")
+    left = cut(_open(hot.unionByName(others)))
     return left.where("NOT maybe").drop("maybe").unionByName(_uncovered(left.where("maybe").drop("maybe"), versions))
 
 
