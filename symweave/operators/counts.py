@@ -12,6 +12,21 @@ def kind_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def kind_sums(rows: DataFrame, by: list[str], sums: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(by, ..): how many rows are of some kinds together, whatever their case."""
+    return rows.groupBy(*by).agg(*(F.count_if(F.lower("kind").isin(*kinds)).alias(name) for name, kinds in sums.items()))
+
+
+def generation_lifecycle(generations: DataFrame, longest: int) -> DataFrame:
+    """Per project: the number of its next generation, those being built, whether one may begin, stale ones, and a bounded failure."""
+    once = generations.select("project_id", "generation", "state", "failure_summary").distinct()
+    building = F.count_if(F.col("state") == "BUILDING")
+    return once.groupBy("project_id").agg(
+        (F.coalesce(F.max("generation"), F.lit(0)) + 1).alias("next_generation"), building.alias("n_building"), (building == 0).alias("may_begin"), F.count_if(F.col("state") == "STALE").alias("n_stale"),
+        F.max(F.when(F.col("state") == "FAILED", names.bounded(F.col("failure_summary"), longest))).alias("last_failure"),
+    )
+
+
 def diagnostic_counts(diagnostics: DataFrame) -> DataFrame:
     """Per repo, kind and severity; rows delivered twice count once, the severity may be null."""
     once = diagnostics.select("request_id", "ordinal", "repo", F.upper(F.trim("kind")).alias("kind"), "severity").distinct()
@@ -26,30 +41,47 @@ def graph_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e).groupBy("project").agg(*(F.sum(c).alias(c) for c in ("n_nodes", "n_unresolved", "n_edges", "n_occurrences")))
 
 
+#: Counts of package_metrics by the kind of component.
+COMPONENTS = {"ROUTE": "n_routes", "REPOSITORY": "n_repositories", "ENTITY": "n_entities", "BEAN": "n_beans", "EVENT_TYPE": "n_events", "CONFIG_PROPERTY": "n_configuration"}
+
+
 def package_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per project and package with located symbols: symbols by kind, and edges that stay within the package.
+    """Per project and package with located symbols: framework components, in all and by kind, inner edges, and its roles.
 
-    Edges count whether their ends have a file or not.
+    Edges count whether their ends have a file or not. roles are names between commas.
     """
     located = nodes.where("file_path IS NOT NULL AND package_name IS NOT NULL").groupBy("project", F.col("package_name").alias("package")).agg(
-        F.count(F.lit(1)).alias("n_symbols"), *(F.count_if(F.col("kind") == k).alias(f"n_{k.lower()}s") for k in ("TYPE", "METHOD", "FIELD"))
+        F.count_if(F.col("kind").isin(*COMPONENTS)).alias("n_components"), *(F.count_if(F.col("kind") == k).alias(name) for k, name in COMPONENTS.items())
     )
     place = lambda end: nodes.select("project", F.col("stable_id").alias(end), F.col("package_name").alias(f"{end}_package"))
     internal = (
         edges.select("project", "source", "target").join(place("source"), ["project", "source"]).join(place("target"), ["project", "target"])
         .where("source_package = target_package").groupBy("project", F.col("source_package").alias("package")).agg(F.count(F.lit(1)).alias("n_internal"))
     )
-    return located.join(internal, ["project", "package"], "left").fillna({"n_internal": 0})
+    roles = {"web": "n_routes > 0", "service": "n_beans > 0", "data": "n_repositories + n_entities > 0", "events": "n_events > 0", "configuration": "n_configuration > 0"}
+    named = F.concat_ws(",", *(F.when(F.expr(condition), name) for name, condition in roles.items()))
+    return located.join(internal, ["project", "package"], "left").fillna({"n_internal": 0}).withColumn("roles", named)
 
 
 def application_areas(metrics: DataFrame, limit: int = 12) -> DataFrame:
-    """The largest packages of each project; those of libraries are left out after the cut."""
-    w = Window.partitionBy("project").orderBy(F.desc("n_symbols"), F.desc("n_internal"), "package")
+    """The first packages of each project by components, inner edges and routes; those of libraries and those with nothing are left out after the cut."""
+    w = Window.partitionBy("project").orderBy(F.desc("n_components"), F.desc("n_internal"), F.desc("n_routes"), "package")
     ranked = metrics.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit)
     outside = F.lit(False)
     for prefix in names.EXTERNAL:
         outside = outside | F.col("package").startswith(prefix)
-    return ranked.where(~outside & ((F.col("n_symbols") > 0) | (F.col("n_internal") > 0)))
+    return ranked.where(~outside & ((F.col("n_components") > 0) | (F.col("n_internal") > 0)))
+
+
+def framework_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, role, n) of every project with symbols: controllers (types that expose a route), services, repositories, entities, routes and beans."""
+    service = (F.col("kind") == "BEAN") & F.coalesce(F.lower(F.get_json_object("metadata", "$.stereotype")).contains("service"), F.lit(False))
+    by_kind = nodes.groupBy("project").agg(
+        F.count_if(service).alias("services"), *(F.count_if(F.col("kind") == k).alias(n) for k, n in (("REPOSITORY", "repositories"), ("ENTITY", "entities"), ("ROUTE", "routes"), ("BEAN", "beans")))
+    )
+    exposing = edges.where("kind = 'EXPOSES_ROUTE'").groupBy("project").agg(F.count_distinct("source").alias("controllers"))
+    both = by_kind.join(exposing, "project", "left").fillna({"controllers": 0})
+    return both.unpivot("project", ["controllers", "services", "repositories", "entities", "routes", "beans"], "role", "n")
 
 
 def test_symbols(nodes: DataFrame) -> DataFrame:
@@ -60,14 +92,25 @@ def test_symbols(nodes: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, n, median) with the element at n div 2 of the ordered values, nulls dropped; exact.
+    """(by, n, median) with the element at n div 2 of the ordered numbers, nulls dropped; exact.
 
-    Equal values are counted before they are shuffled and ordered, so a group costs its distinct values.
+    The values are counted by steps of their order of magnitude first, some hundred for each group; only those of the
+    step with the median are put in order, after equal ones were counted, so no task orders a whole group.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    v = F.col(value)
+    # Eighths of a binary order of magnitude; the sign comes first.
+    step = (F.signum(v) * (1 + F.floor(8 * F.log2(F.greatest(F.abs(v.cast("double")), F.lit(1.0)))))).cast("int")
+    present = rows.where(v.isNotNull()).select(*by, v, step.alias("step"))
+    counted = present.groupBy(*by, "step").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*by)
-    upto = counted.select("*", F.sum("c").over(w.orderBy(value)).alias("upto"), F.sum("c").over(w).alias("n"))
-    return upto.where("upto > n div 2 AND upto - c <= n div 2").select(*by, "n", F.col(value).alias("median"))
+    steps = counted.select(*by, "step", F.sum("c").over(w).alias("n"), (F.sum("c").over(w.orderBy("step")) - F.col("c")).alias("below"), "c")
+    middle = steps.where("below <= n div 2 AND below + c > n div 2").select(*(F.col(b).alias(f"m_{b}") for b in by), F.col("step").alias("m_step"), "n", "below")
+    same = F.col("step") == F.col("m_step")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"m_{b}"))
+    values = present.join(middle, same).groupBy(*by, value, "n", "below").agg(F.count(F.lit(1)).alias("c"))
+    upto = values.withColumn("upto", F.col("below") + F.sum("c").over(w.orderBy(value)))
+    return upto.where("upto > n div 2 AND upto - c <= n div 2").select(*by, "n", v.alias("median"))
 
 
 def paired_reduction(medians: DataFrame, by: list[str], mode: str, base: str, other: str) -> DataFrame:
@@ -113,12 +156,13 @@ def precision_recall(expected: DataFrame, actual: DataFrame, by: list[str], key:
     return counted.select("*", share("n_actual").alias("precision"), share("n_expected").alias("recall"))
 
 
-def fingerprints(texts: DataFrame, by: list[str], path: str, text: str) -> DataFrame:
-    """(by, n_files, fingerprint) that changes with any path or text of a group, whatever the order of its files.
+def fingerprints(texts: DataFrame, by: list[str], path: str, text: str, configuration: str = "") -> DataFrame:
+    """(by, n_files, fingerprint) that changes with the configuration and any path or text of a group, whatever the order of its files.
 
-    The exclusive or of the files' hashes, so that parts are combined before they are shuffled. A null text differs from
+    A hash of the sums of the files' hashes, so that parts are combined before they are shuffled. A null text differs from
     an empty one; the same file given twice counts once.
     """
     files = texts.where(F.col(path).isNotNull()).select(*by, path, F.coalesce(F.md5(text), F.lit("none")).alias("digest")).distinct()
-    hashed = F.conv(F.substring(F.md5(F.concat_ws("\n", path, "digest")), 1, 15), 16, 10).cast("bigint")
-    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"), F.bit_xor(hashed).alias("fingerprint"))
+    digest = F.sha2(F.concat_ws("\n", path, "digest"), 256)
+    sums = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16, 31, 46)]
+    return files.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"), F.sha2(F.concat_ws(":", F.lit(configuration), *(s.cast("string") for s in sums)), 256).alias("fingerprint"))

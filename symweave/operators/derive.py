@@ -82,12 +82,9 @@ def first_emissions(rows: DataFrame, key: list[str], order: list[str]) -> DataFr
     return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
-def erased(c: Column, depth: int = 6) -> Column:
-    """A type's text without white space and, up to the given nesting, type arguments; varargs as an array."""
-    text = F.regexp_replace(F.regexp_replace(c, r"\s+", ""), r"\.\.\.$", "[]")
-    for _ in range(depth):
-        text = F.regexp_replace(text, "<[^<>]*>", "")
-    return text
+def erased(c: Column) -> Column:
+    """A type's text without white space and type arguments of any nesting; varargs as an array."""
+    return F.regexp_replace(names.without_arguments(F.regexp_replace(c, r"\s+", "")), r"\.\.\.$", "[]")
 
 
 def qualified_types(uses: DataFrame, imports: DataFrame) -> DataFrame:
@@ -102,6 +99,14 @@ def qualified_types(uses: DataFrame, imports: DataFrame) -> DataFrame:
     return named.select("file_path", "type_text", F.concat(F.coalesce("qualified_name", local), "dims").alias("qualified"))
 
 
+def partial_status(analyses: DataFrame) -> DataFrame:
+    """(request_id, status, partial, agrees, adds_up): whether any file failed, and whether status and counts agree with that; unknown failures are none."""
+    partial = F.coalesce(F.col("files_failed") > 0, F.lit(False))
+    return analyses.select(
+        "request_id", "status", partial.alias("partial"), ((F.col("status") == "partial") == partial).alias("agrees"), (F.col("files_discovered") == F.col("files_parsed") + F.coalesce("files_failed", F.lit(0))).alias("adds_up")
+    )
+
+
 def joint_condition(states: DataFrame, key: list[str]) -> DataFrame:
     """(key, state) of all conditions on something together: inactive if one is, else unknown if one is, else active."""
     rank = F.when(F.col("state") == "inactive", 2).when(F.col("state") == "active", 0).otherwise(1)

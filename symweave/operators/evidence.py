@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from symweave.functions import names
 
-#: Lines of a block in the overlap join.
-BLOCK = 64
-
-
 def locations(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(project, file_path, start_line, end_line): the distinct locations of nodes and of edges' evidence."""
     columns = ["project", "file_path", "start_line", "end_line"]
@@ -32,32 +28,39 @@ def first_occurrences(occurrences: DataFrame, limit: int) -> DataFrame:
 def overlapping_symbols(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(project, file_path, start_line, end_line, n_symbols) of each distinct evidence location: the symbols whose lines meet it.
 
-    Both ranges are cut into blocks of lines and joined by block; a pair counts in the first block they share, so the
-    work follows the length of files and not the square of their symbols.
+    These are the symbols that begin up to its last line, less those that end before its first one. Both are running sums
+    over the lines of a file, so that no range is taken apart and no pair is formed, however long ranges are.
     """
     key = ["project", "file_path"]
-    blocks = lambda df: df.withColumn("block", F.explode(F.sequence(F.expr(f"start_line div {BLOCK}"), F.expr(f"end_line div {BLOCK}"))))
     sound = "file_path IS NOT NULL AND start_line > 0 AND end_line >= start_line"
     places = occurrences.where(sound).select(*key, "start_line", "end_line").distinct()
-    symbols = nodes.where(sound).select(*key, F.col("start_line").alias("s"), F.col("end_line").alias("e")).groupBy(*key, "s", "e").agg(F.count(F.lit(1)).alias("n"))
-    cut_symbols = symbols.withColumn("block", F.explode(F.sequence(F.expr(f"s div {BLOCK}"), F.expr(f"e div {BLOCK}"))))
-    met = blocks(places).join(cut_symbols, [*key, "block"]).where(f"s <= end_line AND e >= start_line AND block = greatest(s, start_line) div {BLOCK}")
-    counted = met.groupBy(*key, "start_line", "end_line").agg(F.sum("n").alias("n_symbols"))
-    return places.join(counted, [*key, "start_line", "end_line"], "left").fillna({"n_symbols": 0})
+    marks = F.array(F.struct(F.col("start_line").alias("line"), F.lit(1).alias("begun"), F.lit(0).alias("ended")), F.struct(F.col("end_line").alias("line"), F.lit(0).alias("begun"), F.lit(1).alias("ended")))
+    asked = F.array(*(F.struct(line.alias("line"), F.lit(0).alias("begun"), F.lit(0).alias("ended")) for line in (F.col("start_line") - 1, F.col("end_line"))))
+    at = lambda df, points: df.select(*key, F.explode(points).alias("p")).select(*key, "p.*")
+    lines = at(nodes.where(sound), marks).unionByName(at(places, asked)).groupBy(*key, "line").agg(F.sum("begun").alias("begun"), F.sum("ended").alias("ended"))
+    upto = Window.partitionBy(*key).orderBy("line")
+    sums = lines.select(*key, "line", F.sum("begun").over(upto).alias("begun"), F.sum("ended").over(upto).alias("ended"))
+    before = sums.select(*key, (F.col("line") + 1).alias("start_line"), "ended")
+    return places.join(sums.select(*key, F.col("line").alias("end_line"), "begun"), [*key, "end_line"]).join(before, [*key, "start_line"]).select(
+        *key, "start_line", "end_line", (F.col("begun") - F.col("ended")).alias("n_symbols")
+    )
 
 
 def numbered_lines(references: DataFrame, texts: DataFrame, key: list[str], context: int = 2) -> DataFrame:
     """(key, start_line, end_line, line, text) of the referenced lines and so many around them.
 
     Lines end with a line feed, a carriage return before it doesn't count, and no empty line follows the last one.
-    References beyond the end of a text give fewer lines or none.
+    References beyond the end of a text give fewer lines or none. Only the lines' number goes to the references, which
+    are then joined with the lines themselves one by one.
     """
     lines = F.split(F.regexp_replace(F.col("text"), "\r?\n\\z", ""), "\r?\n")
     wanted = references.where("start_line > 0 AND end_line >= start_line").select(*key, "start_line", "end_line").distinct()
-    joined = wanted.join(texts.where("text IS NOT NULL AND text <> ''").select(*key, lines.alias("lines")), key)
-    first = F.greatest(F.col("start_line") - context, F.lit(1))
-    part = joined.where("start_line <= size(lines)").select(*key, "start_line", "end_line", first.alias("first"), F.slice("lines", first, F.col("end_line") + context - first + 1).alias("part"))
-    return part.select(*key, "start_line", "end_line", "first", F.posexplode("part").alias("nth", "text")).select(*key, "start_line", "end_line", (F.col("first") + F.col("nth")).alias("line"), "text")
+    held = texts.where("text IS NOT NULL AND text <> ''").join(wanted.select(*key).distinct(), key, "left_semi").select(*key, lines.alias("lines"))
+    sized = wanted.join(held.groupBy(*key).agg(F.max(F.size("lines")).alias("n")), key).where("start_line <= n")
+    numbers = F.sequence(F.greatest(F.col("start_line") - context, F.lit(1)), F.least((F.col("end_line").cast("bigint") + context).cast("bigint"), F.col("n").cast("bigint")).cast("int"))
+    asked = sized.select(*key, "start_line", "end_line", F.explode(numbers).alias("line"))
+    single = held.select(*key, F.posexplode("lines").alias("nth", "text")).select(*key, (F.col("nth") + 1).alias("line"), "text")
+    return asked.join(single, [*key, "line"]).select(*key, "start_line", "end_line", "line", "text")
 
 
 def shared_budget(wants: DataFrame, by: list[str], order: list[str], want: str, budget: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -21,19 +22,66 @@ CATEGORIES = {
 }
 
 
-def search(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """The best symbols of each project for a query: (project, stable_id, kind, rank, nth).
+def framework_roles(nodes: DataFrame) -> DataFrame:
+    """(project, stable_id, direct, role): each symbol's own framework role, and, without one, that of its declaring type."""
+    own = nodes.select(
+        "project", "stable_id", names.framework_role(F.col("kind"), F.col("metadata")).alias("direct"), names.owner_id(F.col("kind"), F.col("stable_id"), F.col("metadata")).alias("owner")
+    )
+    owners = own.where("direct IS NOT NULL").select("project", F.col("stable_id").alias("owner"), F.col("direct").alias("inherited"))
+    return own.join(owners, ["project", "owner"], "left").select("project", "stable_id", "direct", F.coalesce("direct", "inherited").alias("role"))
+
+
+def candidates(nodes: DataFrame, query: str, most: int = 1000) -> DataFrame:
+    """The first symbols of each project that hold the query, or its first word, in a name or the identifier: exact names first, then by identifier.
 
-    Ties go by the qualified name in lower case, then by the identifier. Symbols without any likeness stay out.
+    Percent signs and underscores of the query don't count. The cut comes before any other filter.
     """
+    text = query.replace("%", "").replace("_", "")
+    word = next(("".join(g) for ok, g in itertools.groupby(text, str.isalnum) if ok), text)
+    holds = lambda c, part: F.coalesce(names.ascii_lower(F.col(c)).contains(names.ascii_lower(F.lit(part))), F.lit(False))
+    found = holds("qualified_name", text) | holds("simple_name", text) | holds("stable_id", text) | holds("qualified_name", word) | holds("simple_name", word)
+    exact = F.coalesce((F.col("qualified_name") == query) | (F.col("simple_name") == query), F.lit(False))
+    w = Window.partitionBy("project").orderBy(F.when(exact, 0).otherwise(1), "stable_id")
+    return nodes.where(found).withColumn("prefetch", F.row_number().over(w)).where(F.col("prefetch") <= most).drop("prefetch")
+
+
+def search(
+    nodes: DataFrame, query: str, limit: int = 10, offset: int = 0, kinds: tuple[str, ...] = (), module: str | None = None, package_prefix: str | None = None, namespace_prefix: str | None = None,
+    roles: tuple[str, ...] = (), most: int = 1000,
+) -> DataFrame:
+    """A page of the best symbols of each project for a query: (project, stable_id, kind, role, rank, nth, n_matched).
+
+    Candidates are cut to so many first; kinds and roles are compared without case, a role is the symbol's own or that
+    of its declaring type. Ties go by the qualified name in lower case, then by the identifier.
+    """
+    query = query.strip()
     if not query or len(query.encode()) > 500:
         raise ValueError("a query has 1 to 500 bytes")
-    rank = names.lexical_rank(query, F.col("stable_id"), F.col("qualified_name"), F.col("simple_name"))
-    located = F.when(F.col("file_path").isNotNull(), 80).otherwise(0)
-    kind = F.when(F.col("kind") == "ROUTE", 35).when(F.col("kind").isin("REPOSITORY", "ENTITY", "BEAN", "EVENT_TYPE"), 25).when((F.col("kind") == "METHOD") & (F.get_json_object("metadata", "$.has_body") == "true"), 10).otherwise(0)
-    scored = nodes.select("project", "stable_id", "kind", "qualified_name", rank.alias("lexical"), (rank + located + kind).alias("rank")).where("lexical > 0")
-    w = Window.partitionBy("project").orderBy(F.desc("rank"), F.lower("qualified_name"), "stable_id")
-    return scored.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).select("project", "stable_id", "kind", "rank", "nth")
+    if limit < 1 or offset < 0:
+        raise ValueError("a page has a positive limit and no negative offset")
+    found = candidates(nodes, query, most)
+    if kinds:
+        found = found.where(F.lower("kind").isin(*(k.lower() for k in kinds)))
+    lexical = names.lexical_rank(F.lit(query), F.col("stable_id"), F.col("qualified_name"), F.col("simple_name"))
+    yes = lambda condition: F.coalesce(condition, F.lit(False))
+    space = F.coalesce("namespace_path", "package_name")
+    terms = [lexical, F.when(F.col("file_path").isNotNull(), 80).otherwise(0), F.when(names.framework_role(F.col("kind"), F.col("metadata")).isNotNull(), 20).otherwise(0)]
+    for given, condition, value in (
+        (module, F.col("module_name") == module, 40), (package_prefix, space.startswith(package_prefix or ""), 30), (namespace_prefix, F.col("namespace_path").startswith(namespace_prefix or ""), 30)
+    ):
+        if given is not None:
+            found, terms = found.where(yes(condition)), [*terms, F.lit(value)]
+    terms.append(
+        F.when(F.col("kind") == "ROUTE", 35).when(F.col("kind").isin("REPOSITORY", "ENTITY", "BEAN", "EVENT_TYPE"), 25)
+        .when((F.col("kind") == "METHOD") & yes(F.get_json_object("metadata", "$.has_body") == "true"), 10).otherwise(0)
+    )
+    scored = found.withColumn("lexical", lexical).where("lexical > 0").select("project", "stable_id", "kind", "qualified_name", sum(terms[1:], terms[0]).alias("rank"))
+    named = scored.join(framework_roles(nodes).select("project", "stable_id", "role"), ["project", "stable_id"])
+    if roles:
+        named = named.where(yes(F.lower("role").isin(*(r.lower() for r in roles))))
+    project = Window.partitionBy("project")
+    placed = named.withColumn("nth", F.row_number().over(project.orderBy(F.desc("rank"), F.lower("qualified_name"), "stable_id"))).withColumn("n_matched", F.count(F.lit(1)).over(project))
+    return placed.where((F.col("nth") > offset) & (F.col("nth") <= offset + limit)).select("project", "stable_id", "kind", "role", "rank", "nth", "n_matched")
 
 
 def neighbours(edges: DataFrame, end: str, limit: int, kinds: list[str], limit_first: bool = True) -> DataFrame:
@@ -47,6 +95,21 @@ def neighbours(edges: DataFrame, end: str, limit: int, kinds: list[str], limit_f
     return cut.where(wanted).select("project", "source", "target", "kind", "nth")
 
 
+def of_kinds(nodes: DataFrame, kinds: tuple[str, ...], limit: int) -> DataFrame:
+    """The symbols of the kinds, whatever their case, among the first of each project by identifier: the cut comes first."""
+    first = nodes.withColumn("nth", F.row_number().over(Window.partitionBy("project").orderBy("stable_id"))).where(F.col("nth") <= limit)
+    return first.where(F.lower("kind").isin(*(k.lower() for k in kinds)))
+
+
+def context_page(edges: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """(project, stable_id, direction, kind, source, target, nth, n_edges): a page of each symbol's edges in both directions."""
+    sides = F.array(F.struct(F.col("target").alias("stable_id"), F.lit("inbound").alias("direction")), F.struct(F.col("source").alias("stable_id"), F.lit("outbound").alias("direction")))
+    seen = edges.select("project", "kind", "source", "target", F.explode(sides).alias("s")).select("project", "s.*", "kind", "source", "target")
+    own = Window.partitionBy("project", "stable_id")
+    placed = seen.withColumn("nth", F.row_number().over(own.orderBy("direction", "kind", "source", "target"))).withColumn("n_edges", F.count(F.lit(1)).over(own))
+    return placed.where((F.col("nth") > offset) & (F.col("nth") <= offset + limit))
+
+
 def context_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(project, stable_id, direction, category, n_edges, n_ambiguous) of every symbol with edges in a known group.
 

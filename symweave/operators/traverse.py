@@ -6,6 +6,8 @@ lost executor repeats no earlier level.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,41 @@ def all_paths(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return paths.join(onward, ["project", "path"], "left").select("project", "start", "node", "depth", "path", F.col("on").isNull().alias("closed"))
 
 
+def traces(starts: DataFrame, hops: DataFrame, depth: int, shortest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Paths with the kinds of their edges, and counts of what was left out.
+
+    hops are (project, node, next, kind, hidden, wanted): hidden neighbours are counted and left out, then those that
+    aren't wanted, then those that lead back into the path, which are counted. The first result is (project, start, node,
+    depth, path, kinds) of the paths that can't be continued, the second (project, start, n_cycles, n_hidden, n_visited).
+    With shortest a node continues only the first path on which a start meets it: at the least depth, then in order of
+    the edges' kinds and nodes.
+    """
+    hops = cut(hops.select("project", "node", "next", "kind", "hidden", "wanted").distinct())
+    live = cut(starts.select("project", F.col("stable_id").alias("start"), F.col("stable_id").alias("node"), F.lit(0).alias("depth"), F.array("stable_id").alias("path"), F.array().cast("array<string>").alias("kinds")).distinct())
+    seen, tallies, ended, visited = live.select("project", "start", "node"), [], [], [live.select("project", "start", "node")]
+    for level in range(1, depth + 1):
+        onward = cut(live.join(hops, ["project", "node"]).withColumn("back", F.array_contains("path", F.col("next"))))
+        shown = onward.where("NOT hidden AND wanted")
+        tallies.append(onward.where("hidden OR wanted").groupBy("project", "start").agg(F.count_if(~F.col("hidden") & F.col("back")).alias("n_cycles"), F.count_if("hidden").alias("n_hidden")))
+        further = shown.where("NOT back").select(
+            "project", "start", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("next")).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), F.col("path").alias("before")
+        )
+        if shortest:
+            first = F.struct(F.zip_with(F.col("kinds"), F.slice("path", 2, depth + 1), lambda k, n: F.struct(k.alias("k"), n.alias("n"))).alias("order"), "depth", "path", "kinds", "before")
+            met = further.join(seen, ["project", "start", "node"], "left_anti").groupBy("project", "start", "node").agg(F.min(first).alias("f"))
+            further = met.select("project", "start", "node", "f.depth", "f.path", "f.kinds", "f.before")
+        further = cut(further)
+        ended.append(live.join(further.select("project", "start", F.col("before").alias("path")).distinct(), ["project", "start", "path"], "left_anti"))
+        live = further.drop("before")
+        visited.append(live.select("project", "start", "node"))
+        if shortest:
+            seen = cut(seen.unionByName(visited[-1]), bounded=True)
+    paths = functools.reduce(DataFrame.unionByName, ended, live)
+    met = functools.reduce(DataFrame.unionByName, visited).distinct().groupBy("project", "start").agg(F.count(F.lit(1)).alias("n_visited"))
+    counts = functools.reduce(DataFrame.unionByName, tallies).groupBy("project", "start").agg(F.sum("n_cycles").alias("n_cycles"), F.sum("n_hidden").alias("n_hidden"))
+    return paths.select("project", "start", "node", "depth", "path", "kinds").distinct(), met.join(counts, ["project", "start"], "left").fillna({"n_cycles": 0, "n_hidden": 0})
+
+
 def reached(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(project, start, node, depth): each node that a start reaches, with the least number of edges; not the start itself.
 
@@ -67,7 +104,7 @@ def reached(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> Da
         level += 1
         new = live.join(hops, ["project", "node"]).select("project", "start", F.col("next").alias("node")).distinct()
         live = cut(new.join(seen, ["project", "start", "node"], "left_anti").withColumn("depth", F.lit(level)))
-        seen = seen.unionByName(live)
+        seen = cut(seen.unionByName(live), bounded=True)
     return seen.where("depth > 0")
 
 

@@ -36,6 +36,36 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.select("project", "source", "target", "kind", missing.alias("missing")).where("missing IS NOT NULL")
 
 
+def graph_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, rule, n): how many rows of a graph as loaded break each rule; rules that are kept don't come out.
+
+    nodes and edges have the columns of graph documents. Rules are an identifier's grammar, repeated identifiers, metadata
+    that are no object, locations and paths, edges without an end or with an unknown one, and evidence of edges.
+    """
+    place = lambda prefix="": [F.col(f"{prefix}{c}") for c in ("file_path", "start_line", "end_line")]
+    no_object = lambda c: ~F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+    known = nodes.select("project", "stable_id").distinct()
+    ends = edges.select("project", "edge_id", F.explode(F.array("source_stable_id", "target_stable_id")).alias("stable_id"))
+    seen = edges.select("project", F.explode("occurrences").alias("o")).select("project", "o.*")
+    parts = {
+        "node identifier": nodes.where(~F.coalesce(names.is_valid_id(F.col("stable_id")), F.lit(False))),
+        "repeated node": nodes.groupBy("project", "stable_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
+        "node metadata": nodes.where(no_object("metadata")),
+        "node location": nodes.where(names.is_bad_location(*place())),
+        "node path": nodes.where(F.col("file_path").isNotNull() & ~names.is_safe_path(F.col("file_path"))),
+        "missing end": ends.where("stable_id IS NULL"),
+        "unknown end": ends.where("stable_id IS NOT NULL").join(known, ["project", "stable_id"], "left_anti"),
+        "edge metadata": edges.where(no_object("metadata")),
+        "evidence location": seen.where(names.is_bad_location(*place()) | F.col("file_path").isNull()),
+        "evidence path": seen.where(F.col("file_path").isNotNull() & ~names.is_safe_path(F.col("file_path"))),
+    }
+    whole = None
+    for rule, rows in parts.items():
+        one = rows.groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit(rule).alias("rule"), "n")
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
+
+
 def event_order_problems(events: DataFrame) -> DataFrame:
     """(request_id, ordinal, problem) of events out of order, of unknown type, or missing at either end.
 

@@ -14,7 +14,7 @@ def _section(df: DataFrame, name: str, item: str, n: str) -> DataFrame:
 
 
 def project_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project, section, item, n): kinds of symbols and edges, the largest areas, modules and source sets of every project.
+    """(project, section, item, n): kinds of symbols and edges, the first areas, framework roles, modules and source sets of every project.
 
     nodes and edges are rows as loaded.
     """
@@ -24,7 +24,7 @@ def project_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     sets = counts.test_symbols(current).where("source_set IS NOT NULL")
     parts = [
         _section(counts.kind_counts(current, ["project", "kind"]), "symbols", "kind", "n"), _section(counts.kind_counts(merged, ["project", "kind"]), "edges", "kind", "n"),
-        _section(areas, "areas", "package", "n_symbols"), _section(modules, "modules", "module_name", "n"), _section(sets, "source sets", "source_set", "n"),
+        _section(areas, "areas", "package", "n_components"), _section(counts.framework_counts(current, merged), "framework", "role", "n"), _section(modules, "modules", "module_name", "n"), _section(sets, "source sets", "source_set", "n"),
     ]
     whole = parts[0]
     for part in parts[1:]:

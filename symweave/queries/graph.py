@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,21 +83,24 @@ def graph_status(spark: SparkSession, folder: str) -> DataFrame:
     return counts.graph_status(_nodes(spark, folder), _edges(spark, folder))
 
 
-_PACKAGES = """, located AS (
-    SELECT project, package_name AS package, count(*) AS n_symbols, count(*) FILTER (kind = 'TYPE') AS n_types, count(*) FILTER (kind = 'METHOD') AS n_methods, count(*) FILTER (kind = 'FIELD') AS n_fields
+PACKAGES = """, located AS (
+    SELECT project, package_name AS package, count(*) FILTER (kind IN ('BEAN', 'ROUTE', 'REPOSITORY', 'ENTITY', 'CONFIG_PROPERTY', 'EVENT_TYPE')) AS n_components, count(*) FILTER (kind = 'ROUTE') AS n_routes,
+      count(*) FILTER (kind = 'REPOSITORY') AS n_repositories, count(*) FILTER (kind = 'ENTITY') AS n_entities, count(*) FILTER (kind = 'BEAN') AS n_beans, count(*) FILTER (kind = 'EVENT_TYPE') AS n_events, count(*) FILTER (kind = 'CONFIG_PROPERTY') AS n_configuration
     FROM n WHERE file_path IS NOT NULL AND package_name IS NOT NULL GROUP BY ALL),
   inside AS (SELECT e.project, s.package_name AS package, count(*) AS n_internal FROM e JOIN n s ON s.project = e.project AND s.stable_id = e.source
     JOIN n t ON t.project = e.project AND t.stable_id = e.target WHERE s.package_name = t.package_name GROUP BY ALL),
-  metrics AS (SELECT l.*, coalesce(n_internal, 0) AS n_internal FROM located l LEFT JOIN inside i USING (project, package)) """
+  metrics AS (SELECT l.*, coalesce(n_internal, 0) AS n_internal, concat_ws(',', CASE WHEN n_routes > 0 THEN 'web' END, CASE WHEN n_beans > 0 THEN 'service' END, CASE WHEN n_repositories > 0 OR n_entities > 0 THEN 'data' END,
+    CASE WHEN n_events > 0 THEN 'events' END, CASE WHEN n_configuration > 0 THEN 'configuration' END) AS roles FROM located l LEFT JOIN inside i USING (project, package)) """
+_AREAS = """(SELECT *, row_number() OVER (PARTITION BY project ORDER BY n_components DESC, n_internal DESC, n_routes DESC, package) AS nth FROM metrics)
+    WHERE nth <= 12 AND (n_components > 0 OR n_internal > 0) AND NOT (package LIKE 'java.%' OR package LIKE 'javax.%' OR package LIKE 'jakarta.%' OR package LIKE 'org.springframework.%')"""
 
 
-@_query(_WITH + _PACKAGES + "SELECT * FROM metrics")
+@_query(_WITH + PACKAGES + "SELECT * FROM metrics")
 def package_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return counts.package_metrics(_nodes(spark, folder), _edges(spark, folder))
 
 
-@_query(_WITH + _PACKAGES + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n_symbols DESC, n_internal DESC, package) AS nth FROM metrics)
-    WHERE nth <= 12 AND NOT (package LIKE 'java.%' OR package LIKE 'javax.%' OR package LIKE 'jakarta.%' OR package LIKE 'org.springframework.%')""", "nth")
+@_query(_WITH + PACKAGES + "SELECT * FROM " + _AREAS, "nth")
 def application_areas(spark: SparkSession, folder: str) -> DataFrame:
     return counts.application_areas(package_metrics(spark, folder))
 
@@ -136,15 +141,34 @@ def symbol_context(spark: SparkSession, folder: str) -> DataFrame:
 _TOKENS = "trim(regexp_replace(lower(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^\\pL\\pN]+', ' ', 'g'))"
 
 
-@_query(f""", t AS (SELECT *, lower(qualified_name) AS ql, lower(coalesce(simple_name, '')) AS sl, {_TOKENS.format('qualified_name')} AS qt, {_TOKENS.format("coalesce(simple_name, '')")} AS st FROM n),
-    r AS (SELECT *, CASE WHEN stable_id = 'harborRouter' THEN 900 WHEN ql = 'harborrouter' THEN 700 WHEN sl = 'harborrouter' THEN 600 WHEN qt = 'harbor router' OR st = 'harbor router' THEN 500
-      WHEN starts_with(ql, 'harborrouter') OR starts_with(sl, 'harborrouter') THEN 400
-      WHEN starts_with(qt, 'harbor router') OR starts_with(st, 'harbor router') OR list_contains(string_split(qt, ' '), 'harbor router') OR list_contains(string_split(st, ' '), 'harbor router') THEN 350
-      WHEN contains(ql, 'harborrouter') OR contains(qt, 'harbor router') THEN 200 ELSE 0 END AS lexical FROM t),
-    s AS (SELECT *, lexical + CASE WHEN file_path IS NOT NULL THEN 80 ELSE 0 END + CASE WHEN kind = 'METHOD' AND json_extract_string(metadata, '$.has_body') = 'true' THEN 10 ELSE 0 END AS rank FROM r WHERE lexical > 0)
-    SELECT project, stable_id, kind, rank, nth FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY rank DESC, lower(qualified_name), stable_id) AS nth FROM s) WHERE nth <= 10""", "nth")
+#: Queries of the rank matrix: words, parts, prefixes, spellings, an identifier's start, and signs alone.
+RANKED = ("harborRouter", "router", "probe", "Lattice Ribbon", "app.nectar", "method:app", "prune_kernel", "get", "KERNEL SOCKET", "type:", "zephyr", "NectarAnchor", "%", "quarry", "app.cipher.kettlehl", "Builder")
+_RANKED = ", ".join(f"('{q}')" for q in RANKED)
+_RANK = f""", q AS (SELECT q, lower(q) AS low, {_TOKENS.format('q')} AS words FROM (VALUES {_RANKED}) AS v(q)),
+    t AS (SELECT *, lower(qualified_name) AS ql, lower(coalesce(simple_name, '')) AS sl, {_TOKENS.format("coalesce(simple_name, '')")} AS st FROM n),
+    r AS (SELECT t.*, q, CASE WHEN stable_id = q THEN 900 WHEN ql = low THEN 700 WHEN sl = low THEN 600 WHEN st = words THEN 500 WHEN starts_with(ql, low) OR starts_with(sl, low) THEN 400
+      WHEN starts_with(st, words) OR list_contains(string_split(st, ' '), words) THEN 350 WHEN contains(ql, low) OR contains(st, words) THEN 200 ELSE 0 END AS lexical FROM t, q) """
+
+
+@_query(_RANK + "SELECT q AS query, project, stable_id, lexical FROM r WHERE lexical > 0", "lexical")
+def lexical_rank_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """The rank of every symbol for each of several queries."""
+    each = _nodes(spark, folder).withColumn("query", F.explode(F.array(*(F.lit(q) for q in RANKED))))
+    rank = names.lexical_rank(F.col("query"), F.col("stable_id"), F.col("qualified_name"), F.col("simple_name"))
+    return each.select("query", "project", "stable_id", rank.alias("lexical")).where("lexical > 0")
+
+
+@_query(_RANK + """, c AS (SELECT *, row_number() OVER (PARTITION BY project, q ORDER BY CASE WHEN qualified_name = q OR simple_name = q THEN 0 ELSE 1 END, stable_id) AS i FROM r
+      WHERE q IN ('harborRouter', 'router', 'zephyr') AND (contains(lower(qualified_name), lower(q)) OR contains(lower(simple_name), lower(q)) OR contains(lower(stable_id), lower(q)))),
+    ow AS (SELECT *, CASE WHEN json_extract_string(metadata, '$.annotations[0]') LIKE '%Controller' THEN 'CONTROLLER' WHEN json_extract_string(metadata, '$.annotations[0]') LIKE '%Service' THEN 'SERVICE' END AS direct FROM n),
+    s AS (SELECT c.*, o.direct, coalesce(o.direct, p.direct) AS role, lexical + CASE WHEN c.file_path IS NOT NULL THEN 80 ELSE 0 END + CASE WHEN c.kind = 'METHOD' AND json_extract_string(c.metadata, '$.has_body') = 'true' THEN 10 ELSE 0 END + CASE WHEN o.direct IS NOT NULL THEN 20 ELSE 0 END AS rank
+      FROM c JOIN ow o ON o.project = c.project AND o.stable_id = c.stable_id LEFT JOIN ow p ON p.project = c.project AND c.kind = 'METHOD' AND p.stable_id = 'type:' || regexp_extract(c.stable_id, '^[^:]*:([^#]*)#', 1) WHERE c.i <= 1000 AND lexical > 0)
+    SELECT q AS query, project, stable_id, kind, role, rank, nth, n_matched FROM (SELECT *, row_number() OVER (PARTITION BY project, q ORDER BY rank DESC, lower(qualified_name), stable_id) AS nth, count(*) OVER (PARTITION BY project, q) AS n_matched FROM s) WHERE nth <= 10""", "rank", "nth")
 def search_symbol(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.search(_nodes(spark, folder), "harborRouter")
+    """The first symbols of each project for some queries."""
+    nodes = _nodes(spark, folder)
+    found = [symbols.search(nodes, q).withColumn("query", F.lit(q)) for q in ("harborRouter", "router", "zephyr")]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 @_query(""", wanted AS (SELECT DISTINCT project, stable_id, unnest(unresolved) AS name FROM n),
@@ -203,7 +227,7 @@ def normal_routes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @_query("""SELECT project, stable_id, (file_path IS NULL OR regexp_matches(stable_id, '^method:(java[.]|javax[.]|jakarta[.]|org[.]springframework[.])')
-      OR (kind = 'METHOD' AND coalesce(regexp_matches(simple_name, '^(get|set|is)'), false)) OR (kind = 'METHOD' AND coalesce(simple_name IN ('toString', 'hashCode', 'equals', 'clone', 'finalize', 'getClass', 'notify', 'notifyAll', 'wait'), false))
+      OR (kind = 'METHOD' AND coalesce(regexp_matches(simple_name, '^(get|set|is)'), false)) OR coalesce(simple_name IN ('toString', 'hashCode', 'equals', 'requireNonNull', 'debug', 'info', 'warn', 'error', 'trace'), false)
       OR coalesce(json_extract_string(metadata, '$.generated') = 'true', false)) AS suppressed FROM n""")
 def suppression_policy(spark: SparkSession, folder: str) -> DataFrame:
     hidden = names.is_suppressed(*(F.col(c) for c in ("kind", "simple_name", "file_path", "stable_id", "metadata")))
@@ -260,10 +284,16 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
     return counts.corpus_stats(table(spark, folder, "documents"), ["lang", "source", "doc_kind", "repo"], "n_chars")
 
 
-@_query("""SELECT doc_id, file_path FROM documents WHERE regexp_matches(lower(replace(file_path, '\\', '/')), '(^|/)\\.env(\\.[^/]*)?$|(credential|secret)[^/]*$|\\.(pem|key|p12|pfx)$|(^|/)\\.ssh/|cargo\\.toml$')""".replace("SELECT", "WITH x AS (SELECT 1) SELECT", 1))
+@_query("""WITH p AS (SELECT DISTINCT file_path FROM documents UNION SELECT DISTINCT file_path FROM analyzer_diagnostics UNION SELECT '.env' || CASE WHEN doc_id % 2 = 0 THEN '.local' ELSE '' END || '/' || repo FROM documents UNION SELECT repo || '/.env' FROM documents UNION SELECT repo || '\\config\\..\\Client_Secrets.json' FROM documents UNION SELECT '/keys/' || repo || '.PEM' FROM documents),
+    l AS (SELECT file_path, lower(replace(file_path, '\\', '/')) AS x FROM p WHERE file_path IS NOT NULL), f AS (SELECT *, string_split(x, '/')[-1] AS name, string_split(x, '/') AS parts FROM l)
+    SELECT file_path, name = '.env' OR starts_with(name, '.env.') OR contains(name, 'credential') OR contains(name, 'secret') OR ends_with(name, '.pem') OR ends_with(name, '.key') OR ends_with(name, '.p12') OR ends_with(name, '.pfx') OR contains(x, '/.ssh/') AS sensitive,
+      file_path <> '' AND NOT list_contains(parts, '') AND NOT list_contains(parts, '.') AND NOT list_contains(parts, '..') AND NOT regexp_matches(file_path, '^[A-Za-z]:') AS safe FROM f""")
 def sensitive_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that may hold secrets, and, as an excluded name of this corpus, package manifests."""
-    return table(spark, folder, "documents").where(names.is_sensitive(F.col("file_path")) | F.lower("file_path").rlike("cargo[.]toml$")).select("doc_id", "file_path")
+    """Whether paths may hold secrets and are safe: those of texts and diagnostics, and some derived from the repositories' names."""
+    docs = table(spark, folder, "documents")
+    made = docs.selectExpr("explode(array('.env' || CASE WHEN doc_id % 2 = 0 THEN '.local' ELSE '' END || '/' || repo, repo || '/.env', repo || '\\\\config\\\\..\\\\Client_Secrets.json', '/keys/' || repo || '.PEM')) AS file_path")
+    paths = docs.select("file_path").union(table(spark, folder, "analyzer_diagnostics").select("file_path")).union(made).where("file_path IS NOT NULL").distinct()
+    return paths.select("file_path", names.is_sensitive(F.col("file_path")).alias("sensitive"), names.is_safe_path(F.col("file_path")).alias("safe"))
 
 
 @_query("""WITH v AS (SELECT mode, shape, total_index_ms AS x FROM performance_runs WHERE total_index_ms >= 0),
@@ -380,9 +410,10 @@ def branch_points(spark: SparkSession, folder: str) -> DataFrame:
     return traverse.branch_points(traverse.steps(_edges(spark, folder), ["CALLS"]))
 
 
-@_query(_WITH + _PACKAGES + """SELECT project, 'symbols' AS section, kind AS item, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT project, 'edges', kind, count(*) FROM e GROUP BY ALL
-    UNION ALL SELECT project, 'areas', package, n_symbols FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n_symbols DESC, n_internal DESC, package) AS nth FROM metrics)
-      WHERE nth <= 12 AND NOT (package LIKE 'java.%' OR package LIKE 'javax.%' OR package LIKE 'jakarta.%' OR package LIKE 'org.springframework.%')
+@_query(_WITH + PACKAGES + """SELECT project, 'symbols' AS section, kind AS item, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT project, 'edges', kind, count(*) FROM e GROUP BY ALL
+    UNION ALL SELECT project, 'areas', package, n_components FROM """ + _AREAS + """ UNION ALL SELECT project, 'framework', r, CASE WHEN r = 'controllers' THEN (SELECT count(DISTINCT source) FROM e WHERE e.project = x.project AND e.kind = 'EXPOSES_ROUTE')
+      ELSE (SELECT count(*) FROM n WHERE n.project = x.project AND n.kind = k AND (r <> 'services' OR contains(lower(json_extract_string(metadata, '$.stereotype')), 'service'))) END
+      FROM (SELECT DISTINCT project FROM n) x, (VALUES ('controllers', ''), ('services', 'BEAN'), ('repositories', 'REPOSITORY'), ('entities', 'ENTITY'), ('routes', 'ROUTE'), ('beans', 'BEAN')) v(r, k)
     UNION ALL SELECT project, 'modules', module_name, count(*) FROM n WHERE module_name IS NOT NULL GROUP BY ALL
     UNION ALL SELECT project, 'source sets', json_extract_string(metadata, '$.source_set'), count(*) FROM n WHERE json_extract_string(metadata, '$.source_set') IS NOT NULL GROUP BY ALL""")
 def project_map(spark: SparkSession, folder: str) -> DataFrame:
@@ -418,21 +449,11 @@ def trace_inbound_suppressed(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("project", "start", "node", "depth", F.array_join("path", " > ").alias("path"))
 
 
-@_query("""WITH v AS (SELECT count(*) FILTER (upper(mode) = 'SAFE') AS n_safe, count(*) FILTER (upper(mode) = 'TRUSTED') AS n_trusted, shape, count(*) FILTER (total_index_ms >= parsing_ms AND parsing_ms >= 0) AS n_consistent, count(*) AS n FROM performance_runs GROUP BY shape)
-    SELECT shape, n, n_safe, n_trusted, n_consistent, n_consistent * 100 >= n * 60 AS mostly_consistent FROM v""")
-def target_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether at least 60 of 100 runs of a shape have timings that add up."""
-    runs = table(spark, folder, "performance_runs").groupBy("shape").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.upper("mode") == "SAFE").alias("n_safe"), F.count_if(F.upper("mode") == "TRUSTED").alias("n_trusted"),
-        F.count_if(F.expr("total_index_ms >= parsing_ms AND parsing_ms >= 0")).alias("n_consistent"),
-    )
-    return runs.withColumn("mostly_consistent", F.col("n_consistent") * 100 >= F.col("n") * 60)
-
-
-@_query("""WITH f AS (SELECT DISTINCT repo, file_path, coalesce(md5(text), 'none') AS digest FROM documents WHERE doc_kind = 'source' AND file_path IS NOT NULL)
-    SELECT repo, count(*) AS n_files, bit_xor(CAST('0x' || substr(md5(file_path || chr(10) || digest), 1, 15) AS BIGINT)) AS fingerprint FROM f GROUP BY ALL""")
+@_query("""WITH f AS (SELECT DISTINCT repo, file_path, coalesce(md5(text), 'none') AS digest FROM documents WHERE doc_kind = 'source' AND file_path IS NOT NULL),
+    h AS (SELECT repo, sha256(file_path || chr(10) || digest) AS h FROM f), s AS (SELECT repo, count(*) AS n_files, """ + ", ".join(f"sum(CAST('0x' || substr(h, {at}, 15) AS HUGEINT)) AS s{at}" for at in (1, 16, 31, 46)) + """ FROM h GROUP BY ALL)
+    SELECT repo, n_files, sha256(concat_ws(':', 'safe', s1, s16, s31, s46)) AS fingerprint FROM s""")
 def source_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return counts.fingerprints(table(spark, folder, "documents").where("doc_kind = 'source'"), ["repo"], "file_path", "text")
+    return counts.fingerprints(table(spark, folder, "documents").where("doc_kind = 'source'"), ["repo"], "file_path", "text", "safe")
 
 
 @_query("""WITH h AS (SELECT project_id, canonical_root, sha1(unhex('2bbd078153ac4e839e4b87ecad76bf89') || encode(replace(canonical_root, '\\', '/'))) AS h FROM projects),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symweave.session import ship
@@ -47,15 +47,20 @@ def event_lines(lines: DataFrame) -> DataFrame:
     return lines.select("request_id", F.get_json_object("value", "$.type").alias("type"), "value")
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(request_id, ordinal, type, value) of analyzer streams: JSON lines, one file for each request, in order of their lines.
 
-    Blank lines are no events. The file's name without its ending is the request.
+    Blank lines are no events. The file's name without its ending is the request. Streams are read line by line, in as
+    many parts as the files have, and numbered by the part and the place in it. A line that is no JSON fails the read if
+    strict, else it has no type.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
-    lines = whole.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("request_id"), F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "value"))
-    kept = lines.where(F.trim("value") != "")
-    return kept.select("request_id", "ordinal", F.get_json_object("value", "$.type").alias("type"), "value")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    order = Window.partitionBy("name").orderBy("block", "place")
+    placed = lines.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("request_id"), (F.row_number().over(order) - 1).alias("ordinal"), "value").where(F.trim("value") != "")
+    kind = F.get_json_object("value", "$.type")
+    if strict:
+        kind = F.when(F.try_parse_json("value").isNull(), F.raise_error(F.concat(F.lit("no JSON in line "), (F.col("ordinal") + 1).cast("string"), F.lit(" of "), F.col("request_id"))).cast("string")).otherwise(kind)
+    return placed.select("request_id", "ordinal", kind.alias("type"), "value")
 
 
 def events_of(events: DataFrame, kind: str) -> DataFrame:

@@ -64,7 +64,9 @@ def test_composed_answers(spark, at):
     )
     schema = "edge_id long, project string, source_stable_id string, target_stable_id string, kind string, confidence string, provenance string, metadata string, occurrences array<struct<file_path: string, start_line: int, end_line: int, metadata: string>>"
     edges = spark.createDataFrame([(i, "p", f"method:A#{a}()", f"method:A#{b}()", "CALLS", "C", "i", "{}", [("f", i + 1, i + 1, "{}")]) for i, (a, b) in enumerate(("ab", "bc", "ax"))], schema)
-    assert {(r.section, r.item, r.n) for r in packs.project_map(nodes, edges).collect()} == {("symbols", "METHOD", 4), ("edges", "CALLS", 3), ("areas", "a", 3), ("modules", "m", 4), ("source sets", "main", 4)}
+    assert {(r.section, r.item, r.n) for r in packs.project_map(nodes, edges).collect()} == {
+        ("symbols", "METHOD", 4), ("edges", "CALLS", 3), ("areas", "a", 0), ("modules", "m", 4), ("source sets", "main", 4), *(("framework", r, 0) for r in ("controllers", "services", "repositories", "entities", "routes", "beans"))
+    }
     one = packs.symbol(nodes, edges, "p", "method:A#a()", depth=2)
     assert one["symbol"].count() == 1 and [(r.category, r.n_edges) for r in one["context"].collect()] == [("callees", 2)] and one["evidence"].count() == 2
     assert {r.node: r.depth for r in one["callees"].collect()} == {"method:A#b()": 1, "method:A#x()": 1, "method:A#c()": 2}

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symweave.functions import names
-from symweave.operators import counts, evidence, symbols, traverse, validate
+from symweave.operators import counts, endpoints, evidence, sessions, symbols, traverse, validate
 from symweave.plans import graph
 
 EDGE = "project string, source string, target string, kind string, confidence string"
@@ -36,9 +36,9 @@ def test_fnv(spark, text, expected):
 
 
 def test_rank_order(spark):
-    rows = [("harborRouter", "z.Q", "q"), ("a", "harborrouter", None), ("b", "x.Y", "HARBORROUTER"), ("c", "harbor.router", "r"), ("d", "harborRouters", "r"), ("e", "my.harborRouter", "r"), ("f", "other", "o")]
+    rows = [("harborRouter", "z.Q", "q"), ("a", "harborrouter", None), ("b", "x.Y", "HARBORROUTER"), ("c", "x.y", "harbor_router"), ("d", "harborRouters", "r"), ("e", "my.harborRouter", "r"), ("f", "other", "o")]
     df = spark.createDataFrame(rows, "stable_id string, qualified_name string, simple_name string")
-    assert values(df, names.lexical_rank("harborRouter", F.col("stable_id"), F.col("qualified_name"), F.col("simple_name"))) == [900, 700, 600, 500, 400, 200, 0]
+    assert values(df, names.lexical_rank(F.lit("harborRouter"), F.col("stable_id"), F.col("qualified_name"), F.col("simple_name"))) == [900, 700, 600, 500, 400, 200, 0]
 
 
 def test_search_guards(spark):
@@ -130,3 +130,69 @@ def test_project_ids_and_fingerprints(spark):
     files = [("x", "a", "1"), ("x", "b", None), ("x", "b", None), ("y", "b", ""), ("y", "a", "1"), ("y", None, "1"), ("z", "a", "1"), ("z", "b", None)]
     got = {r.g: (r.n_files, r.fingerprint) for r in counts.fingerprints(spark.createDataFrame(files, "g string, p string, t string"), ["g"], "p", "t").collect()}
     assert got["x"] == got["z"] != got["y"] and got["y"][0] == 2
+
+
+def test_type_texts_paths_and_forms(spark):
+    df = spark.createDataFrame([("Map<A<B<C<D<E<F<G<H>>>>>>>, I>[]", "a/b.rs", "x\ny\nz", "v ${a.b:c} ${d}"), ("Vec<T>::new", "../a", "", "none"), ("self", "C:/x", None, "${}"), (None, "", "x", None)], "t string, p string, x string, v string")
+    assert values(df, names.without_arguments(F.col("t"))) == ["Map[]", "Vec::new", "self", None]
+    assert values(df, names.final_name(F.col("t"))) == ["Map[]", "new", None, None]
+    assert values(df, names.is_safe_path(F.col("p"))) == [True, False, False, False]
+    assert values(df, names.line_of(F.col("x"), F.lit(4))) == [3, 1, None, 1] and values(df, names.placeholder_key(F.col("v"))) == ["a.b", None, None, None]
+    assert values(df, names.bounded(F.col("t"), 3)) == ["Map", "Vec", "sel", None]
+    assert values(spark.createDataFrame([(" a//b/ ",), ("/",), ("",), ("//x",)], "p string"), names.asked_route(F.col("p"))) == ["/a//b", "/", "/", "/x"]
+
+
+def test_roles_and_search_filters(spark):
+    schema = "project string, stable_id string, kind string, qualified_name string, simple_name string, module_name string, package_name string, namespace_path string, file_path string, metadata string"
+    rows = [
+        ("p", "type:a.OrderController", "TYPE", "a.OrderController", "OrderController", "m", "a", None, "f", '{"annotations":["x.Odd","web.RestController"]}'), ("p", "method:a.OrderController#orders()", "METHOD", "a.OrderController.orders", "orders", "m", "a", "a.b", "f", '{"has_body":true}'),
+        ("p", "bean:orders", "BEAN", "orders", "orders", None, "a", None, None, '{"stereotype":"Service"}'), ("p", "entity:b.Order", "ENTITY", "b.Order", "Order", "n", "b", "b", "f", "{}"), ("q", "type:x", "TYPE", "x.Order", "Order", None, None, None, None, None),
+    ]
+    nodes = spark.createDataFrame(rows, schema)
+    assert {r.stable_id: (r.direct, r.role) for r in symbols.framework_roles(nodes).collect()} == {"type:a.OrderController": ("CONTROLLER",) * 2, "method:a.OrderController#orders()": (None, "CONTROLLER"), "bean:orders": ("SERVICE",) * 2, "entity:b.Order": ("ENTITY",) * 2, "type:x": (None, None)}
+    found = lambda *a, **k: [(r.stable_id, r["rank"], r.n_matched) for r in symbols.search(nodes.where("project = 'p'"), *a, **k).orderBy("nth").collect()]
+    assert found("orders") == [("bean:orders", 745, 1 + 1), ("method:a.OrderController#orders()", 690, 2)]
+    assert found("order", roles=("controller",), limit=1, offset=1) == [("method:a.OrderController#orders()", 490, 2)]
+    assert found("order", module="n") == [("entity:b.Order", 600 + 80 + 20 + 25 + 40, 1)] and found("order", namespace_prefix="a") == [("method:a.OrderController#orders()", 400 + 80 + 10 + 30, 1)] and found("nothing") == []
+    assert [r.stable_id for r in symbols.candidates(nodes.where("project = 'p'"), "orders", 1).collect()] == ["bean:orders"]
+
+
+def test_shortest_traces_and_counts(spark):
+    hops = spark.createDataFrame([("p", a, b, k, b == "h", b != "u") for a, b, k in (("a", "b", "X"), ("a", "b", "C"), ("a", "c", "C"), ("b", "d", "C"), ("c", "d", "B"), ("d", "a", "C"), ("b", "h", "C"), ("b", "u", "C"))], "project string, node string, next string, kind string, hidden boolean, wanted boolean")
+    starts = spark.createDataFrame([("p", "a")], "project string, stable_id string")
+    paths, tally = traverse.traces(starts, hops, 3, shortest=True)
+    assert {("".join(r.path), "".join(r.kinds)) for r in paths.collect()} == {("abd", "CC"), ("ac", "C")}
+    every, counts_ = traverse.traces(starts, hops, 3)
+    assert {("".join(r.path), "".join(r.kinds)) for r in every.collect()} == {("abd", "CC"), ("abd", "XC"), ("acd", "CB")}
+    assert [tuple(r) for r in counts_.collect()] == [("p", "a", 4, 3, 2)] and tally.first().n_cycles == 1
+
+
+def test_accuracy_and_compared_sessions(spark):
+    rows = lambda *ks: spark.createDataFrame([("g", k) for k in ks], "g string, k string")
+    got = sessions.graph_accuracy(rows("a", "b", None, "d"), rows("x", "y"), rows("a", "b", None, "x", "z"), ["g"], ["k"]).first()
+    assert (got.n_expected, got.n_true, got.n_missing, got.n_forbidden, got.precision, got.recall) == (4, 3, 1, 1, 0.75, 0.75)
+    runs = [("s", "q1", "base", True, 0, 1000, 10), ("s", "q1", "new", True, 0, 300, 4), ("s", "q2", "base", False, 1, 0, 10), ("s", "q2", "new", False, 0, 5, None), ("s", "q3", "base", True, 0, 1, 1)]
+    df = spark.createDataFrame(runs, "g string, question_id string, mode string, correct boolean, n_unsupported long, tokens long, calls long")
+    one = sessions.compared_sessions(df, ["g"], "base", "new", {"tokens": 60.0, "calls": 70.0}).first()
+    assert (one.n_pairs, one.reduction_tokens, one.meets_tokens, one.reduction_calls, one.meets_calls, one.no_less_correct, one.none_unsupported) == (2, 70.0, True, 60.0, False, True, True)
+    whole = {r.mode: r for r in sessions.session_aggregates(df, ["mode"], ["tokens"]).collect()}
+    assert (whole["base"].correctness, whole["base"].n_unsupported, whole["base"].median_tokens) == (2 / 3, 1, 1) and whole["new"].median_tokens == 300
+
+
+def test_endpoint_of_a_small_graph(spark):
+    """Two handlers of one route, a library call, a repository, a cycle and a branch."""
+    n = lambda i, kind, name, file="f", meta="{}": ("p", i, kind, i.split(":")[1].replace("#", "."), name, file, "COMPILER_RESOLVED", meta)
+    nodes = [n("route:GET:/a", "ROUTE", "/a"), n("method:a.C#one()", "METHOD", "one"), n("method:a.C#two()", "METHOD", "two"), n("method:a.S#run()", "METHOD", "run"), n("method:a.S#walk()", "METHOD", "walk"), n("method:java.util.L#f()", "METHOD", "f"), n("method:a.S#getX()", "METHOD", "getX"), n("method:b.OrderRepository#saveAll(b.Order)", "METHOD", "saveAll", "f", '{"parameter_types":["b.Order"]}'), n("type:b.Order", "TYPE", "Order"), n("type:a.C", "TYPE", "C"), n("bean:s", "BEAN", "s", "f", '{"declared_type":"a.S"}')]
+    edges = [("route:GET:/a", "method:a.C#one()", "HANDLED_BY"), ("route:GET:/a", "method:a.C#two()", "HANDLED_BY"), ("method:a.C#one()", "method:a.S#run()", "CALLS"), ("method:a.C#one()", "method:a.S#walk()", "CALLS"), ("method:a.C#one()", "method:java.util.L#f()", "CALLS"), ("method:a.C#one()", "method:a.S#getX()", "CALLS"), ("method:a.S#run()", "method:a.S#walk()", "CALLS"), ("method:a.S#walk()", "method:b.OrderRepository#saveAll(b.Order)", "CALLS"), ("method:a.S#walk()", "method:a.C#one()", "CALLS"), ("type:a.C", "bean:s", "INJECTS"), ("method:a.S#run()", "type:b.Order", "READS")]
+    df = spark.createDataFrame(nodes, "project string, stable_id string, kind string, qualified_name string, simple_name string, file_path string, confidence string, metadata string")
+    links = spark.createDataFrame([("p", *e) for e in edges], "project string, source string, target string, kind string")
+    handlers = endpoints.route_handlers(df, links)
+    flow = endpoints.Flow(df, links, handlers, 3)
+    assert {r.path for r in flow.paths().collect()} == {"a.C.two()", "a.C.one() > a.S.walk() > b.OrderRepository.saveAll(b.Order)"}
+    facts = {(r.category, r.item) for r in flow.facts().collect()}
+    assert facts == {("writes", "b.Order"), ("reads", "b.Order"), ("branch points", "a.C.one()"), ("branch points", "a.S.walk()"), ("injections", "a.C > a.S")}
+    one = endpoints.endpoint_summary(handlers, flow, df).first()
+    assert (one.n_handlers, one.n_paths, one.n_hidden, one.n_writes, one.completeness) == (2, 2, 4, 1, "ambiguous")
+    assert {r.stable_id: r.domain for r in endpoints.repository_domains(df).collect()} == {"method:b.OrderRepository#saveAll(b.Order)": "b.Order"}
+    with pytest.raises(ValueError):
+        endpoints.Flow(df, links, handlers, 0)

@@ -78,3 +78,31 @@ def test_streams(spark, tmp_path):
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 6
     stream.write_tables(events, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("type = 'node'").count() == 2
+
+
+def test_life_of_a_generation(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    nodes, edges = spark.createDataFrame([("a",)], "stable_id string"), spark.createDataFrame([("a", "a")], "source string, target string")
+    assert sinks.begin_generation(spark, folder, "p") == 1
+    with pytest.raises(ValueError):
+        sinks.begin_generation(spark, folder, "p")
+    sinks.activate_generation(spark, folder, "p", 1, nodes, edges)
+    assert sinks.begin_generation(spark, folder, "p") == 2
+    sinks.fail_generation(spark, folder, "p", 2, "x" * 900)
+    with pytest.raises(ValueError):
+        sinks.fail_generation(spark, folder, "p", 2, "again")
+    with pytest.raises(ValueError):
+        sinks.mark_stale(spark, folder, "other")
+    sinks.mark_stale(spark, folder, "p")
+    states = {r.generation: (r.state, r.summary and len(r.summary)) for r in sinks.generation_states(spark, folder).collect()}
+    assert states == {1: ("STALE", None), 2: ("FAILED", 500)} and sinks.read_active(spark, folder, "nodes").count() == 1
+
+
+def test_streams_are_numbered_and_strict(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "r1.jsonl").write_text('{"type":"a"}\n\n{"type":"b"}\r\n' + '{"type":"c"}\n' * 500)
+    (tmp_path / "s" / "r2.jsonl").write_text('{"type":"a"}\nno json\n')
+    loose = files.event_stream(spark, str(tmp_path / "s"), strict=False).collect()
+    assert [(r.request_id, r.ordinal, r.type) for r in sorted(loose, key=lambda r: (r.request_id, r.ordinal))][:3] == [("r1", 0, "a"), ("r1", 2, "b"), ("r1", 3, "c")] and len(loose) == 504
+    with pytest.raises(Exception, match="no JSON in line 2 of r2"):
+        files.event_stream(spark, str(tmp_path / "s")).collect()
