@@ -112,3 +112,35 @@ def joint_condition(states: DataFrame, key: list[str]) -> DataFrame:
     rank = F.when(F.col("state") == "inactive", 2).when(F.col("state") == "active", 0).otherwise(1)
     worst = states.groupBy(*key).agg(F.max(rank).alias("rank"))
     return worst.select(*key, F.element_at(F.array(F.lit("active"), F.lit("unknown"), F.lit("inactive")), F.col("rank") + 1).alias("state"))
+
+
+def repository_calls(calls: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(caller, repository, domain, access, confidence) of each call on a repository: WRITE, READ or null by the method's name.
+
+    calls are (caller, receiver_type, method, modifying, conditional), repositories (type, domain). A modifying query
+    writes whatever its name; a conditional call is only inferred.
+    """
+    met = calls.join(repositories.select(F.col("type").alias("receiver_type"), "domain").distinct(), "receiver_type")
+    access = F.when(F.coalesce("modifying", F.lit(False)), "WRITE").otherwise(names.access_class(F.col("method")))
+    confidence = F.when(F.coalesce("conditional", F.lit(False)), "STATIC_INFERRED").otherwise("FRAMEWORK_RESOLVED")
+    return met.select("caller", F.col("receiver_type").alias("repository"), "domain", access.alias("access"), confidence.alias("confidence")).distinct()
+
+
+def entity_relations(fields: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, field, relation, target, known) of each field with a relation; known tells an edge from a diagnostic.
+
+    fields are (entity, field, relation, type), entities (entity). Fields of unknown entities are left out.
+    """
+    known = entities.select("entity").distinct()
+    own = fields.where("relation IS NOT NULL").join(known, "entity", "left_semi")
+    return own.join(known.select(F.col("entity").alias("type"), F.lit(True).alias("known")), "type", "left").select("entity", "field", "relation", F.col("type").alias("target"), F.coalesce("known", F.lit(False)).alias("known")).distinct()
+
+
+def event_links(publishers: DataFrame, listeners: DataFrame, types: DataFrame) -> DataFrame:
+    """(method, kind, event, external) of each publisher and listener; an event is external if its type is no known one, and unresolved where it is null.
+
+    publishers and listeners are (method, event), types (type).
+    """
+    both = publishers.select("method", F.lit("PUBLISHES_EVENT").alias("kind"), "event").unionByName(listeners.select("method", F.lit("LISTENS_TO_EVENT").alias("kind"), "event")).distinct()
+    known = types.select(F.col("type").alias("event"), F.lit(True).alias("known")).distinct()
+    return both.join(known, "event", "left").select("method", "kind", "event", (F.col("event").isNotNull() & F.col("known").isNull()).alias("external"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symweave.operators import counts, evidence, symbols, traverse
+from symweave.functions import names
+from symweave.operators import counts, symbols, traverse
+from symweave.operators import evidence as ev
 from symweave.plans import graph
 
 
@@ -33,7 +35,7 @@ def project_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def symbol(nodes: DataFrame, edges: DataFrame, project: str, stable_id: str, depth: int = 1, occurrences: int = 10) -> dict[str, DataFrame]:
-    """One symbol's row, its counts of context, its edges with the first rows of evidence, and what it calls.
+    """One symbol's row, its counts of context, its edges with the first rows of evidence, and what it calls within the application.
 
     An unknown symbol gives empty results.
     """
@@ -41,11 +43,12 @@ def symbol(nodes: DataFrame, edges: DataFrame, project: str, stable_id: str, dep
     touching = own_edges.where((F.col("source_stable_id") == stable_id) | (F.col("target_stable_id") == stable_id))
     current = graph.current_nodes(own_nodes)
     start = current.where(F.col("stable_id") == stable_id)
-    calls = traverse.steps(graph.merged_edges(own_edges), ["CALLS"])
+    shown = current.where(names.is_application(F.col("file_path"), F.col("stable_id"))).select("project", F.col("stable_id").alias("next"))
+    calls = traverse.steps(graph.merged_edges(own_edges), ["CALLS"]).join(shown, ["project", "next"], "left_semi")
     return {
         "symbol": start,
         "context": symbols.context_counts(start, graph.merged_edges(touching)),
-        "evidence": evidence.first_occurrences(graph.edge_occurrences(touching), occurrences),
+        "evidence": ev.first_occurrences(graph.edge_occurrences(touching), occurrences),
         "callees": traverse.reached(start.select("project", "stable_id"), calls, depth),
     }
 
@@ -72,3 +75,18 @@ def index_status(projects: DataFrame, generations: DataFrame, nodes: DataFrame)
     return named.join(active, "project_id", "left").join(said.distinct(), ["project_id", "active_generation"], "left").select(
         "project_id", "display_name", "language", "active_generation", "stale", "n_failed_since", "n_emitted", "n_nodes", "agrees"
     )
+
+
+def evidence(asked: DataFrame, places: DataFrame, texts: DataFrame, budget: int, context: int = 2, generation: int = 1) -> DataFrame:
+    """(repo, evidence_id, file_path, start_line, end_line, n_context, line, text): the lines of evidence asked for by identifier, with lines around them.
+
+    asked are (repo, nth, evidence_id), places (repo, file_path, start_line, end_line), texts (repo, file_path, text). A
+    repository's requests share so many lines of context, used up in order; identifiers without a place give no rows.
+    """
+    known = ev.with_evidence_id(places.select("repo", "file_path", "start_line", "end_line").distinct(), generation)
+    found = asked.select("repo", "nth", "evidence_id").distinct().join(known, ["repo", "evidence_id"]).where("start_line > 0 AND end_line >= start_line")
+    given = ev.shared_budget(found.withColumn("want", F.lit(2 * context)), ["repo"], ["nth", "evidence_id", "file_path"], "want", budget).withColumn("n_context", F.expr("taken div 2"))
+    wide = given.select("repo", "evidence_id", "file_path", F.greatest(F.col("start_line") - F.col("n_context"), F.lit(1)).cast("int").alias("start_line"), (F.col("end_line") + F.col("n_context")).cast("int").alias("end_line"))
+    lines = ev.numbered_lines(wide, texts, ["repo", "file_path"], 0).withColumnsRenamed({"start_line": "from_line", "end_line": "to_line"})
+    keyed = given.withColumns({"from_line": F.greatest(F.col("start_line") - F.col("n_context"), F.lit(1)).cast("int"), "to_line": (F.col("end_line") + F.col("n_context")).cast("int")})
+    return keyed.join(lines, ["repo", "file_path", "from_line", "to_line"]).select("repo", "evidence_id", "file_path", "start_line", "end_line", F.col("n_context").cast("int").alias("n_context"), "line", "text")
