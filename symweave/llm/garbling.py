@@ -338,6 +338,32 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_stretches: i
     return _fit(list(clean), list(clean.values()), spark, known) if garbled else model
 
 
+def held_out_accuracy(model: Model, docs: DataFrame, stretches: int = 2000) -> DataFrame:
+    """(chain, n, n_found, n_chain, n_restored) of each chain: clean stretches of texts that the model wasn't fitted on, garbled and judged alone.
+
+    n_found are judged garbled, n_chain by the very chain, n_restored get exactly their original back. At most so many
+    distinct stretches are drawn, by a hash; those that the model takes for garbled as they are don't count.
+    """
+    spark = docs.sparkSession
+    parts = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(STRETCH), F.lit(0)))).alias("stretch")).distinct()
+    drawn = [r.stretch for r in parts.orderBy(F.xxhash64("stretch"), "stretch").limit(stretches).collect()]
+    shared = spark.sparkContext.broadcast((model, [t for t, v in zip(drawn, model.judge(drawn)) if v is None]))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, clean = shared.value
+        for b in batches:
+            rows = []
+            for i in b["id"].tolist():
+                chain = m.known[i]
+                pairs = [(t, g) for t in clean if (g := garble(t, chain)) is not None and g != t and LOST not in g]
+                verdicts = m.judge([g for _, g in pairs])
+                found = [(t, v) for (t, _), v in zip(pairs, verdicts) if v is not None]
+                rows.append((" ".join("{}>{}".format(*step) for step in chain), len(pairs), len(found), sum(v[0] == chain for _, v in found), sum(v[1] == t for t, v in found)))
+            yield pd.DataFrame(rows, columns=["chain", "n", "n_found", "n_chain", "n_restored"])
+
+    return spark.range(len(model.known)).repartition(8).mapInPandas(judge, "chain string, n bigint, n_found bigint, n_chain bigint, n_restored bigint")
+
+
 def _in_context(model: Model, parts: list[str], seen: dict[str, tuple | None]) -> list[tuple[str, tuple | None]]:
     """The stretches of a text with their verdicts, after the chains found in it were held against its other stretches."""
     found = Counter(v[0] for t in parts if (v := seen[t]) and v[0])

@@ -97,3 +97,12 @@ def test_every_chain_within_the_margin_is_tried():
     weights[:, true + 1] = -7.0
     assert (weights[0, 1:] > -7.0).sum() > 16
     assert g.Model(weights, known).judge([text]) == [(known[true], "été")]
+
+
+def test_held_out_accuracy(spark, model):
+    words = spark.createDataFrame([(1, "prête réglée über Schrägstrich оставить задачей później Übung"), (2, None), (3, "plain")], "doc_id long, text string")
+    rows = {r.chain: r for r in g.held_out_accuracy(model, words).collect()}
+    assert len(rows) == len(g.chains()) and all(r.n >= r.n_found >= max(r.n_chain, r.n_restored) for r in rows.values())
+    one = rows["utf-8>cp1252"]
+    assert one.n >= 5 and one.n_restored >= 0.8 * one.n
+    assert sum(r.n for r in g.held_out_accuracy(model, words.limit(0)).collect()) == 0
