@@ -90,6 +90,33 @@ def claims(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(keyed).distinct()
 
 
+_CLAIM = "question_id STRING, category STRING, event STRING, stable_id STRING, source STRING, target STRING, kind STRING, symbol_text STRING"
+METRICS = ("input_tokens", "output_tokens", "tool_calls", "file_reads", "files_opened", "evidence_lines_read", "wall_time_ms")
+
+
+def _as_type(ddl: str) -> str:
+    return ", ".join(f.replace(" ", ": ", 1) for f in ddl.split(", "))
+
+
+def ground_truth(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The expected and forbidden claims and the unsupported questions of documents of graph truth, each with its fixture.
+
+    Missing lists are empty; a document that is no such object fails the read.
+    """
+    schema = f"fixture STRING, expected ARRAY<STRUCT<{_as_type(_CLAIM)}>>, forbidden ARRAY<STRUCT<{_as_type(_CLAIM)}>>, unsupported_questions ARRAY<STRUCT<question_id: STRING, category: STRING, reason: STRING>>"
+    docs = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+    return {part: docs.select("fixture", F.explode(part).alias("c")).select("fixture", "c.*") for part in ("expected", "forbidden", "unsupported_questions")}
+
+
+def agent_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """(mode, question_id, answer, claims, evidence, uncertainty_reported, metrics..) of the runs of session documents; missing lists are empty, missing metrics null."""
+    run = f"question_id: STRING, answer: STRING, claims: ARRAY<STRING>, evidence: ARRAY<STRUCT<file: STRING, start_line: INT, end_line: INT>>, uncertainty_reported: BOOLEAN, metrics: STRUCT<{', '.join(f'{m}: BIGINT' for m in METRICS)}>"
+    docs = spark.read.schema(f"schema_version STRING, mode STRING, runs ARRAY<STRUCT<{run}>>").json(path, multiLine=True, mode="FAILFAST")
+    rows = docs.select("mode", F.explode("runs").alias("r")).select("mode", "r.*")
+    empty = {"claims": F.coalesce("claims", F.array().cast("array<string>")), "evidence": F.coalesce("evidence", F.array().cast("array<struct<file: string, start_line: int, end_line: int>>")), "uncertainty_reported": F.coalesce("uncertainty_reported", F.lit(False))}
+    return rows.withColumns(empty).select("mode", "question_id", "answer", "claims", "evidence", "uncertainty_reported", "metrics.*")
+
+
 def source_texts(spark: SparkSession, root: str, pattern: str = "*", largest: int = 64 << 20) -> DataFrame:
     """(path, text, problem) of the files below a folder: text in UTF-8, null with a problem where there is none.
 

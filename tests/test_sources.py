@@ -106,3 +106,17 @@ def test_streams_are_numbered_and_strict(spark, tmp_path):
     assert [(r.request_id, r.ordinal, r.type) for r in sorted(loose, key=lambda r: (r.request_id, r.ordinal))][:3] == [("r1", 0, "a"), ("r1", 2, "b"), ("r1", 3, "c")] and len(loose) == 504
     with pytest.raises(Exception, match="no JSON in line 2 of r2"):
         files.event_stream(spark, str(tmp_path / "s")).collect()
+
+
+def test_truth_and_session_documents(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    truth = {"fixture": "f", "expected": [{"question_id": "q", "category": "c", "event": "node", "stable_id": "type:A", "kind": "TYPE"}], "unsupported_questions": [{"question_id": "u", "category": "c", "reason": "r"}]}
+    (tmp_path / "t" / "a.json").write_text(json.dumps(truth, indent=1))
+    found = files.ground_truth(spark, str(tmp_path / "t"))
+    assert [(r.fixture, r.question_id, r.stable_id, r.source) for r in found["expected"].collect()] == [("f", "q", "type:A", None)]
+    assert found["forbidden"].count() == 0 and found["unsupported_questions"].first().reason == "r"
+    (tmp_path / "s").mkdir()
+    run = {"question_id": "q", "answer": "a", "claims": ["x"], "metrics": {"input_tokens": 5}}
+    (tmp_path / "s" / "a.json").write_text(json.dumps({"schema_version": "1.0.0", "mode": "base", "runs": [run, {"question_id": "p"}]}))
+    rows = {r.question_id: r for r in files.agent_sessions(spark, str(tmp_path / "s")).collect()}
+    assert (rows["q"].input_tokens, rows["q"].claims, rows["p"].claims, rows["p"].tool_calls, rows["p"].uncertainty_reported) == (5, ["x"], [], None, False)
