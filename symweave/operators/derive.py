@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from symweave.functions import names
 
-# Suffixes of derived query conditions, the longest match first within the list.
-OPERATORS = ("GreaterThanEqual", "LessThanEqual", "GreaterThan", "LessThan", "Between", "Containing", "StartingWith", "EndingWith", "IgnoreCase", "IsNull", "NotNull", "In")
+# Suffixes of derived query conditions.
+OPERATORS = ("IsNotNull", "IsNull", "StartsWith", "EndsWith", "Containing", "GreaterThan", "LessThan", "Between", "True", "False", "In", "IgnoreCase")
 PRIMITIVES = ("boolean", "byte", "char", "double", "float", "int", "long", "short", "void")
 
 
@@ -38,7 +38,8 @@ def selected_candidates(points: DataFrame, candidates: DataFrame) -> DataFrame:
     """(point_id, n_candidates, selected, reason) of each injection point.
 
     points are (point_id, required, qualifier, name), candidates (bean, assignable, qualifiers, is_primary): a bean fits a
-    point whose required type is among its assignable ones. A qualifier decides alone; else the only candidate, the
+    point whose required type is among its assignable ones. A qualifier decides alone, the first bean by name if several
+    have it; else the only candidate, the
     only primary one, or the one named like the parameter. reason is the rule, or why none applies: unresolved
     qualifier, none, several primaries, ambiguous.
     """
@@ -49,7 +50,7 @@ def selected_candidates(points: DataFrame, candidates: DataFrame) -> DataFrame:
     primary = real & F.coalesce("is_primary", F.lit(False))
     per = met.groupBy("point_id").agg(
         F.first("qualifier").alias("qualifier"), F.count_if(real).alias("n_candidates"), F.count_if(primary).alias("n_primary"),
-        one(real & F.col("fits_qualifier")).alias("by_qualifier"), one(real).alias("by_type"), one(primary).alias("by_primary"), one(real & (F.col("bean") == F.col("name"))).alias("by_name"),
+        F.min(F.when(real & F.col("fits_qualifier"), F.col("bean"))).alias("by_qualifier"), one(real).alias("by_type"), one(primary).alias("by_primary"), one(real & (F.col("bean") == F.col("name"))).alias("by_name"),
     )
     asked = F.col("qualifier").isNotNull()
     selected = F.when(asked, F.col("by_qualifier")).otherwise(F.coalesce("by_type", "by_primary", F.when(F.col("n_primary") == 0, F.col("by_name"))))
@@ -62,18 +63,37 @@ def selected_candidates(points: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def parsed_queries(methods: DataFrame, fields: DataFrame) -> DataFrame:
-    """(repository, method, action, properties, valid) of methods named like queries; null where a name is none.
+    """(repository, method, kind, operation, predicates, order_field, direction, unparsed) of the methods of repositories.
 
-    A name is an action, By, and conditions joined by And or Or, with an order behind OrderBy. valid holds if every
-    property is a field of the repository's domain, rows (repository, fields); names are compared decapitalised.
+    methods are (repository, method, query, modifying), fields (repository, fields) of the repository's domain. A method
+    with a query is explicit, and its operation is WRITE if it modifies, else READ. Else a name of an action, By,
+    conditions joined by And or Or, and OrderBy is derived, if every condition is a field with a known suffix or none;
+    predicates are structs of field and operator, names are compared decapitalised. unparsed tells names that only look
+    like that.
     """
     name = F.col("method")
-    action = F.nullif(F.regexp_extract(name, "^(find|read|get|exists|count|delete)[A-Za-z0-9]*?By[A-Z]", 1), F.lit(""))
-    rest = F.regexp_replace(F.regexp_replace(name, "^[a-z]+[A-Za-z0-9]*?By(?=[A-Z])", ""), "OrderBy.*$", "")
-    terms = F.split(rest, "(And|Or)(?=[A-Z])")
-    properties = F.transform(terms, lambda t: names.decapitalised(F.regexp_replace(t, rf"(?<=.)({'|'.join(OPERATORS)})$", "")))
-    parsed = methods.select("repository", "method", action.alias("action"), F.when(action.isNotNull(), properties).alias("properties"))
-    return parsed.join(fields, "repository", "left").select("repository", "method", "action", "properties", (F.size(F.array_except("properties", F.coalesce("fields", F.array().cast("array<string>")))) == 0).alias("valid"))
+    pattern = r"(?s)^(find|read|get|exists|count|delete)By(.+)$"
+    sides = F.split(F.regexp_extract(name, pattern, 2), "OrderBy", 2)
+    conditions, order = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+    # Nothing counts behind the last And or Or.
+    bare = F.regexp_replace(conditions, "(And|Or)+$", "")
+    none = F.array().cast("array<string>")
+    terms = F.when(conditions == "", F.array(F.lit(""))).when(bare == "", none).otherwise(F.split(bare, "And|Or"))
+    suffix = f"({'|'.join(OPERATORS)})$"
+    predicate = lambda t: F.struct(
+        names.decapitalised(F.regexp_replace(t, suffix, "")).alias("field"), F.coalesce(F.nullif(names.upper_snake(F.regexp_extract(t, suffix, 1)), F.lit("")), F.lit("EQUALS")).alias("operator")
+    )
+    parsed = methods.join(fields.select("repository", "fields"), "repository", "left").withColumn("predicates", F.transform(terms, predicate))
+    explicit = F.col("query").isNotNull()
+    derived = ~explicit & name.rlike(pattern) & F.col("fields").isNotNull() & F.coalesce(F.forall("predicates", lambda p: F.array_contains("fields", p["field"])), F.lit(False))
+    ordered = derived & order.isNotNull()
+    return parsed.select(
+        "repository", "method", F.when(explicit, "explicit").when(derived, "derived").alias("kind"),
+        F.when(explicit, F.when(F.coalesce("modifying", F.lit(False)), "WRITE").otherwise("READ")).when(derived, F.upper(F.regexp_extract(name, pattern, 1))).alias("operation"),
+        F.when(derived, F.col("predicates")).alias("predicates"), F.when(ordered, names.decapitalised(F.regexp_replace(order, "(Asc|Desc)$", ""))).alias("order_field"),
+        F.when(ordered, F.when(order.endswith("Desc"), "DESC").otherwise("ASC")).alias("direction"),
+        (~explicit & ~F.coalesce(derived, F.lit(False)) & name.rlike("(?is)^(find|read|get|exists|count|delete).*By.*$")).alias("unparsed"),
+    )
 
 
 def first_emissions(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -57,9 +57,9 @@ def routes_without_verb(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("""WITH p AS (SELECT c_custkey AS point_id, c_nationkey AS required, CASE WHEN c_custkey % 11 = 0 THEN 'q' || c_custkey % 22 END AS qualifier, 'Supplier#' || lpad(CAST(c_custkey % 40 AS VARCHAR), 9, '0') AS name FROM customer),
     c AS (SELECT s_name AS bean, unnest([s_nationkey, s_nationkey + 1, s_nationkey]) AS required, 'q' || s_suppkey % 22 AS q, s_suppkey % 9 = 0 AS is_primary FROM supplier), m AS (SELECT DISTINCT p.*, bean, q, is_primary FROM p LEFT JOIN c USING (required)),
-    g AS (SELECT point_id, qualifier, count(bean) AS n, count(*) FILTER (is_primary) AS np, count(*) FILTER (q = qualifier OR bean = qualifier) AS nq, max(bean) FILTER (q = qualifier OR bean = qualifier) AS bq, max(bean) AS b, max(bean) FILTER (is_primary) AS bp, count(*) FILTER (bean = name) AS nn FROM m GROUP BY ALL)
-    SELECT g.point_id, n AS n_candidates, CASE WHEN g.qualifier IS NOT NULL THEN CASE WHEN nq = 1 THEN bq END WHEN n = 1 THEN b WHEN np = 1 THEN bp WHEN np = 0 AND nn = 1 THEN p.name END AS selected,
-      CASE WHEN g.qualifier IS NOT NULL THEN CASE WHEN nq = 1 THEN 'qualifier' ELSE 'unresolved qualifier' END WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'only candidate' WHEN np > 1 THEN 'several primaries' WHEN np = 1 THEN 'primary' WHEN nn = 1 THEN 'name' ELSE 'ambiguous' END AS reason
+    g AS (SELECT point_id, qualifier, count(bean) AS n, count(*) FILTER (is_primary) AS np, min(bean) FILTER (q = qualifier OR bean = qualifier) AS bq, max(bean) AS b, max(bean) FILTER (is_primary) AS bp, count(*) FILTER (bean = name) AS nn FROM m GROUP BY ALL)
+    SELECT g.point_id, n AS n_candidates, CASE WHEN g.qualifier IS NOT NULL THEN bq WHEN n = 1 THEN b WHEN np = 1 THEN bp WHEN np = 0 AND nn = 1 THEN p.name END AS selected,
+      CASE WHEN g.qualifier IS NOT NULL THEN CASE WHEN bq IS NOT NULL THEN 'qualifier' ELSE 'unresolved qualifier' END WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'only candidate' WHEN np > 1 THEN 'several primaries' WHEN np = 1 THEN 'primary' WHEN nn = 1 THEN 'name' ELSE 'ambiguous' END AS reason
     FROM g JOIN p USING (point_id)""")
 def selected_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """For each customer the supplier of its nation, by qualifier, as the only one, as the primary one or by name."""
@@ -68,20 +68,23 @@ def selected_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return derive.selected_candidates(points, beans)
 
 
-#: Methods of repositories with what their names mean, null where they are no queries, and whether all properties are fields.
+#: Methods of repositories, their queries, and what they mean for parts with the fields name, size, type and price.
 _METHODS = (
-    ("findByNameAndSizeGreaterThanOrderByName", "find", "name,size", True), ("countByTypeIn", "count", "type", True), ("deleteByURLThingContaining", "delete", "URLThing", False), ("readBrand", None, None, None),
-    ("existsByPriceBetweenOrName", "exists", "price,name", True), ("getFirstByColourIsNull", "get", "colour", False),
+    ("findByNameAndSizeGreaterThanOrderByNameDesc", None, "derived", "FIND", "name EQUALS,size GREATER_THAN", "name", "DESC", False), ("countByTypeIn", None, "derived", "COUNT", "type IN", None, None, False),
+    ("deleteByURLThingContaining", None, None, None, None, None, None, True), ("readBrand", None, None, None, None, None, None, False), ("existsByPriceBetweenOrNameIsNotNull", None, "derived", "EXISTS", "price BETWEEN,name IS_NOT_NULL", None, None, False),
+    ("getFirstByNameIsNull", None, None, None, None, None, None, True), ("findByWrong", "select p", "explicit", "READ", None, None, None, False), ("readByNameIgnoreCaseOrderBySizeAsc", None, "derived", "READ", "name IGNORE_CASE", "size", "ASC", False),
 )
 
 
-@_query("SELECT 'Repository' || p_partkey AS repository, method, action, properties, valid FROM part JOIN (VALUES " + ", ".join(f"({i}, '{m}', {a!r}, {p!r}, {v})".replace("None", "NULL") for i, (m, a, p, v) in enumerate(_METHODS)) + f") v(i, method, action, properties, valid) ON i = p_partkey % {len(_METHODS)}")
+@_query("SELECT 'Repository' || p_partkey AS repository, method, kind, CASE WHEN kind = 'explicit' AND p_size > 25 THEN 'WRITE' ELSE operation END AS operation, predicates, order_field, direction, unparsed FROM part JOIN (VALUES "
+        + ", ".join(f"({i}, " + ", ".join("NULL" if v is None else repr(v) for v in (m, *rest)) + ")" for i, (m, _, *rest) in enumerate(_METHODS)) + f") v(i, method, kind, operation, predicates, order_field, direction, unparsed) ON i = p_partkey % {len(_METHODS)}")
 def parsed_queries(spark: SparkSession, folder: str) -> DataFrame:
     """The query methods of the parts' repositories, held against their fields."""
-    name = F.element_at(F.array(*(F.lit(m) for m, *_ in _METHODS)), (F.col("p_partkey") % len(_METHODS) + 1).cast("int"))
-    repositories = table(spark, folder, "part").select(F.concat(F.lit("Repository"), "p_partkey").alias("repository"), name.alias("method"), F.array(*(F.lit(f) for f in ("name", "size", "type", "price"))).alias("fields"))
-    found = derive.parsed_queries(repositories.select("repository", "method"), repositories.select("repository", "fields"))
-    return found.select("repository", "method", "action", F.array_join("properties", ",").alias("properties"), F.when(F.col("action").isNotNull(), F.col("valid")).alias("valid"))
+    nth = (F.col("p_partkey") % len(_METHODS) + 1).cast("int")
+    of = lambda i: F.element_at(F.array(*(F.lit(m[i]).cast("string") for m in _METHODS)), nth)
+    methods = table(spark, folder, "part").select(F.concat(F.lit("Repository"), "p_partkey").alias("repository"), of(0).alias("method"), of(1).alias("query"), (F.col("p_size") > 25).alias("modifying"))
+    found = derive.parsed_queries(methods, methods.select("repository", F.array(*(F.lit(f) for f in ("name", "size", "type", "price"))).alias("fields")))
+    return found.withColumn("predicates", F.array_join(F.transform("predicates", lambda p: F.concat_ws(" ", p["field"], p["operator"])), ","))
 
 
 #: Texts of types with what they mean in a file that imports List and Order, within the package app.

@@ -14,19 +14,25 @@ def test_routes(spark):
 
 
 def test_candidates(spark):
-    beans = spark.createDataFrame([("a", ["I", "A"], ["fast"], True), ("b", ["I", "B"], [], False), ("c", ["J"], None, True), ("d", ["J"], None, True), ("k", ["K"], None, None), ("l", ["K"], None, None)], "bean string, assignable array<string>, qualifiers array<string>, is_primary boolean")
-    points = spark.createDataFrame([(1, "A", None, "x"), (2, "I", None, "b"), (3, "I", "fast", "x"), (4, "I", "slow", "x"), (5, "J", None, "c"), (6, "K", None, "l"), (7, "K", None, "x"), (8, "N", None, "x"), (9, "I", "b", "x")], "point_id int, required string, qualifier string, name string")
+    beans = spark.createDataFrame([("a", ["I", "A"], ["fast"], True), ("b", ["I", "B"], [], False), ("c", ["J"], None, True), ("d", ["J"], None, True), ("k", ["K"], ["both"], None), ("l", ["K"], ["both"], None)], "bean string, assignable array<string>, qualifiers array<string>, is_primary boolean")
+    points = spark.createDataFrame([(1, "A", None, "x"), (2, "I", None, "b"), (3, "I", "fast", "x"), (4, "I", "slow", "x"), (5, "J", None, "c"), (6, "K", None, "l"), (7, "K", None, "x"), (8, "N", None, "x"), (9, "I", "b", "x"), (10, "K", "both", "x")], "point_id int, required string, qualifier string, name string")
     got = {r.point_id: (r.n_candidates, r.selected, r.reason) for r in derive.selected_candidates(points, beans).collect()}
     assert got == {
-        1: (1, "a", "only candidate"), 2: (2, "a", "primary"), 3: (2, "a", "qualifier"), 4: (2, None, "unresolved qualifier"), 5: (2, None, "several primaries"), 6: (2, "l", "name"), 7: (2, None, "ambiguous"), 8: (0, None, "none"), 9: (2, "b", "qualifier"),
+        1: (1, "a", "only candidate"), 2: (2, "a", "primary"), 3: (2, "a", "qualifier"), 4: (2, None, "unresolved qualifier"), 5: (2, None, "several primaries"), 6: (2, "l", "name"), 7: (2, None, "ambiguous"), 8: (0, None, "none"), 9: (2, "b", "qualifier"), 10: (2, "k", "qualifier"),
     }
 
 
 def test_queries_types_and_conditions(spark):
-    methods = spark.createDataFrame([("R", m) for m in ("findByName", "findTop3ByNameAndAgeGreaterThanOrderByAge", "countByWrong", "save", "findAll")], "repository string, method string")
-    fields = spark.createDataFrame([("R", ["name", "age"])], "repository string, fields array<string>")
-    got = {r.method: (r.action, r.properties, r.valid) for r in derive.parsed_queries(methods, fields).collect()}
-    assert got == {"findByName": ("find", ["name"], True), "findTop3ByNameAndAgeGreaterThanOrderByAge": ("find", ["name", "age"], True), "countByWrong": ("count", ["wrong"], False), "save": (None, None, None), "findAll": (None, None, None)}
+    named = [(m, None, None) for m in ("findByNameAndAgeGreaterThanOrderByAgeDesc", "findTop3ByName", "countByWrong", "save", "findAll", "existsByNameOr", "getByOrderByName", "readByAndName", "deleteByAnd")]
+    methods = spark.createDataFrame([("R", *m) for m in [*named, ("find", "select x", True), ("byWhat", "", None)]] + [("S", "findByName", None, None), ("R", None, None, None)], "repository string, method string, query string, modifying boolean")
+    fields = spark.createDataFrame([("R", ["name", "age"], 1)], "repository string, fields array<string>, method int")
+    got = {(r.repository, r.method): (r.kind, r.operation, r.predicates and [tuple(p) for p in r.predicates], r.order_field, r.direction, r.unparsed) for r in derive.parsed_queries(methods, fields).collect()}
+    bad, none = (None, None, None, None, None, True), (None, None, None, None, None, False)
+    assert got == {
+        ("R", "findByNameAndAgeGreaterThanOrderByAgeDesc"): ("derived", "FIND", [("name", "EQUALS"), ("age", "GREATER_THAN")], "age", "DESC", False), ("R", "findTop3ByName"): bad, ("R", "countByWrong"): bad, ("R", "save"): none, ("R", "findAll"): none,
+        ("R", "existsByNameOr"): ("derived", "EXISTS", [("name", "EQUALS")], None, None, False), ("R", "getByOrderByName"): bad, ("R", "readByAndName"): bad, ("R", "deleteByAnd"): ("derived", "DELETE", [], None, None, False),
+        ("R", "find"): ("explicit", "WRITE", None, None, None, False), ("R", "byWhat"): ("explicit", "READ", None, None, None, False), ("S", "findByName"): bad, ("R", None): (None, None, None, None, None, None),
+    }
     uses = spark.createDataFrame([("f", "p.q", t) for t in ("List< Map<String,X> >[]", "int", "a.B", "Local", "String...")], "file_path string, package_name string, type_text string")
     imports = spark.createDataFrame([("f", "List", "java.util.List"), ("f", "String", "java.lang.String")], "file_path string, simple_name string, qualified_name string")
     assert [r.qualified for r in derive.qualified_types(uses, imports).orderBy("type_text").collect()] == ["java.util.List[]", "p.q.Local", "java.lang.String[]", "a.B", "int"]
