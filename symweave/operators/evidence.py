@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.functions import names
 
+
 def locations(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(project, file_path, start_line, end_line): the distinct locations of nodes and of edges' evidence."""
     columns = ["project", "file_path", "start_line", "end_line"]
@@ -64,7 +67,14 @@ def numbered_lines(references: DataFrame, texts: DataFrame, key: list[str], cont
 
 
 def shared_budget(wants: DataFrame, by: list[str], order: list[str], want: str, budget: int) -> DataFrame:
-    """Adds taken: what each row gets of a budget that is used up in order, never more than it wants."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(want).over(w), F.lit(0))
-    return wants.withColumn("taken", F.greatest(F.lit(0), F.least(F.col(want), F.lit(budget) - before)))
+    """Adds taken: what each row gets of a budget that is used up in order, never more than it wants.
+
+    by and order together tell rows apart. Rows that want nothing, or null, get nothing. As each other row takes one at
+    least, no more than the first budget rows of a group can get any; only these are put in order in one task.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    first = wants.where(F.col(want) > 0).select(*by, *order, want).withColumn("budget_nth", F.row_number().over(w)).where(F.col("budget_nth") <= max(budget, 0))
+    before = F.coalesce(F.sum(want).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    given = first.select(*(F.col(c).alias(f"g_{c}") for c in [*by, *order]), F.greatest(F.lit(0), F.least(F.col(want), F.lit(budget) - before)).alias("g_taken"))
+    same = functools.reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in [*by, *order]))
+    return wants.join(given, same, "left").withColumn("taken", F.coalesce("g_taken", F.lit(0))).select(*wants.columns, "taken")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
-import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.functions import names
+from symweave.session import cut
 
 # The group of context each edge kind belongs to, by the direction in which it is seen.
 CATEGORIES = {
@@ -91,8 +90,8 @@ def neighbours(edges: DataFrame, end: str, limit: int, kinds: list[str], limit_f
     """
     wanted = F.col("kind").isin(*kinds)
     w = Window.partitionBy("project", end).orderBy("kind", "source", "target")
-    cut = (edges if limit_first else edges.where(wanted)).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit)
-    return cut.where(wanted).select("project", "source", "target", "kind", "nth")
+    kept = (edges if limit_first else edges.where(wanted)).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit)
+    return kept.where(wanted).select("project", "source", "target", "kind", "nth")
 
 
 def of_kinds(nodes: DataFrame, kinds: tuple[str, ...], limit: int) -> DataFrame:
@@ -102,12 +101,17 @@ def of_kinds(nodes: DataFrame, kinds: tuple[str, ...], limit: int) -> DataFrame:
 
 
 def context_page(edges: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """(project, stable_id, direction, kind, source, target, nth, n_edges): a page of each symbol's edges in both directions."""
+    """(project, stable_id, direction, kind, source, target, nth, n_edges): a page of each symbol's edges in both directions.
+
+    Only the first offset + limit edges of a symbol are put in order in one task, which Spark cuts to before it shuffles;
+    the edges are counted apart. Rows with a null project or symbol are left out.
+    """
     sides = F.array(F.struct(F.col("target").alias("stable_id"), F.lit("inbound").alias("direction")), F.struct(F.col("source").alias("stable_id"), F.lit("outbound").alias("direction")))
-    seen = edges.select("project", "kind", "source", "target", F.explode(sides).alias("s")).select("project", "s.*", "kind", "source", "target")
-    own = Window.partitionBy("project", "stable_id")
-    placed = seen.withColumn("nth", F.row_number().over(own.orderBy("direction", "kind", "source", "target"))).withColumn("n_edges", F.count(F.lit(1)).over(own))
-    return placed.where((F.col("nth") > offset) & (F.col("nth") <= offset + limit))
+    seen = edges.select("project", "kind", "source", "target", F.explode(sides).alias("s")).select("project", "s.*", "kind", "source", "target").where("project IS NOT NULL AND stable_id IS NOT NULL")
+    order = Window.partitionBy("project", "stable_id").orderBy("direction", "kind", "source", "target")
+    first = seen.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= offset + limit).where(F.col("nth") > offset)
+    counted = seen.groupBy("project", "stable_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    return first.join(counted, ["project", "stable_id"])
 
 
 def context_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -180,29 +184,18 @@ def merged_nodes(nodes: DataFrame) -> DataFrame:
 def flattened(rows: DataFrame, key: list[str], column: str) -> DataFrame:
     """(key, path, value) of each scalar in a column of JSON text; members by name, array elements as [].
 
-    Text that is no JSON, and empty objects and arrays, give no rows; null is the text null.
+    Text that is no JSON, or repeats a member of an object, and empty objects and arrays, give no rows; null is the text
+    null, numbers are in Spark's shortest form. One step for each level of nesting, until nothing is nested.
     """
-
-    def walk(value, path: str):
-        if isinstance(value, dict):
-            for name, inner in value.items():
-                yield from walk(inner, f"{path}.{name}" if path else name)
-        elif isinstance(value, list):
-            for inner in value:
-                yield from walk(inner, f"{path}[]")
-        else:
-            yield path, value if isinstance(value, str) else json.dumps(value)
-
-    def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for *own, text in zip(*(b[k] for k in key), b[column]):
-                try:
-                    found += [(*own, path, value) for path, value in walk(json.loads(text), "")]
-                except (TypeError, ValueError):
-                    continue
-            yield pd.DataFrame(found, columns=[*key, "path", "value"])
-
-    chosen = rows.select(*key, column)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name != column)
-    return chosen.mapInPandas(flatten, f"{fields}, path string, value string")
+    spark = rows.sparkSession
+    live = rows.select(*key, F.lit("").alias("flat_path"), F.try_parse_json(F.col(column)).alias("flat_node")).where("flat_node IS NOT NULL")
+    nested, leaves = F.schema_of_variant("flat_node").rlike("^(OBJECT|ARRAY)<"), []
+    while True:
+        live = cut(live.withColumn("flat_nested", nested))
+        leaves.append(live.where("NOT flat_nested").select(*key, F.col("flat_path").alias("path"), F.coalesce(F.col("flat_node").cast("string"), F.lit("null")).alias("value")))
+        inner = live.where("flat_nested")
+        if not inner.head(1):
+            return functools.reduce(DataFrame.unionByName, leaves)
+        parts = spark.tvf.variant_explode(F.col("flat_node").outer()).select(F.col("key").alias("flat_key"), F.col("value").alias("flat_value"))
+        path = F.when(F.col("flat_key").isNull(), F.concat("flat_path", F.lit("[]"))).when(F.col("flat_path") == "", F.col("flat_key")).otherwise(F.concat_ws(".", "flat_path", "flat_key"))
+        live = inner.lateralJoin(parts).select(*key, path.alias("flat_path"), F.col("flat_value").alias("flat_node"))

@@ -57,8 +57,11 @@ def test_sessions(spark):
 
 
 def test_flattened(spark):
-    rows = spark.createDataFrame([(1, '{"a":{"b":[1,"x",{"c":null}]},"d":[]}', 0), (2, "no json", 0), (3, None, 0), (4, "true", 0)], "k int, j string, path int")
-    assert sorted((r.k, r.path, r.value) for r in symbols.flattened(rows, ["k"], "j").collect()) == [(1, "a.b[]", "1"), (1, "a.b[]", "x"), (1, "a.b[].c", "null"), (4, "", "true")]
+    rows = spark.createDataFrame([(1, '{"a":{"b":[1,"x",{"c":null}]},"d":[]}', 0), (2, "no json", 0), (3, None, 0), (4, "true", 0), (5, '{"a":1,"a":2}', 0), (6, "{}", 0), (7, '[[1.5],[]]', 0)], "k int, j string, path int")
+    assert sorted((r.k, r.path, r.value) for r in symbols.flattened(rows, ["k"], "j").collect()) == [(1, "a.b[]", "1"), (1, "a.b[]", "x"), (1, "a.b[].c", "null"), (4, "", "true"), (7, "[][]", "1.5")]
+    deep = spark.createDataFrame([(1, '{"a":' * 12 + "7" + "}" * 12), (2, None)], "k int, j string")
+    assert [tuple(r) for r in symbols.flattened(deep, ["k"], "j").collect()] == [(1, ".".join("a" * 12), "7")]
+    assert symbols.flattened(deep.where("k = 2"), ["k"], "j").collect() == []
 
 
 def test_composed_answers(spark, at):

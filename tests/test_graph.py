@@ -97,6 +97,10 @@ def test_lines_and_budget(spark):
     assert [(r.start_line, r.line, r.text) for r in got] == [(2, 1, "one"), (2, 2, "two"), (2, 3, "three"), (5, 4, ""), (5, 5, "five")]
     wants = spark.createDataFrame([("r", i, w) for i, w in enumerate((3, 4, 2, 5))], "r string, i int, want int")
     assert [r.taken for r in evidence.shared_budget(wants, ["r"], ["i"], "want", 8).orderBy("i").collect()] == [3, 4, 1, 0]
+    mixed = spark.createDataFrame([("a", i, i % 4) for i in range(12)] + [("b", 1, None), (None, 1, 9), ("b", 2, -9), ("b", 3, 9)], "r string, nth int, want int")
+    taken = {(r.r, r.nth): r.taken for r in evidence.shared_budget(mixed, ["r"], ["nth"], "want", 7).collect()}
+    assert taken == {**{("a", i): (0, 1, 2, 3, 0, 1)[i] if i < 6 else 0 for i in range(12)}, ("b", 1): 0, (None, 1): 7, ("b", 2): 0, ("b", 3): 7}
+    assert all(r.taken == 0 for r in evidence.shared_budget(mixed, ["r"], ["nth"], "want", 0).collect())
 
 
 def test_overlap_counts_each_pair_once(spark):
