@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symweave.functions import names
@@ -119,31 +119,72 @@ def injections(points: DataFrame, beans: DataFrame, factories: bool = False) ->
     the only primary one, or, if none is primary, the one with the parameter's name. It is inferred under conditions.
     INJECTS leads from a consumer that is the type of a bean. For factories the consumer is the bean itself, which is no
     candidate of its own; names don't count, all selected ones are resolved, and the edge leads from the bean.
+    Beans are summed up for each required type, so only the candidates themselves are pairs of a point and a bean; they
+    are joined last, moved nowhere afterwards, and a type with many of them is spread over several tasks.
     """
-    key = ["project", "consumer", "point", "parameter"]
-    fits = beans.select("project", "bean", "qualifiers", "is_primary", "conditional", F.explode(F.array_distinct("assignable")).alias("required"))
-    asked = points.select(*key, "required", "qualifier").distinct()
-    met = asked.join(fits, ["project", "required"])
+    key, by_type = ["project", "consumer", "point", "parameter"], ["project", "required"]
+    fits = beans.select("project", "bean", "qualifiers", "is_primary", F.coalesce("conditional", F.lit(False)).alias("conditional"), F.explode(F.array_distinct("assignable")).alias("required"))
+    asked = points.select(*key, "required", "qualifier").where("project IS NOT NULL AND required IS NOT NULL").distinct()
     if factories:
-        met = met.where("bean <> consumer")
-    chosen = F.col("bean"), F.coalesce("conditional", F.lit(False))
-    first = lambda condition: F.min(F.when(condition, F.struct(chosen[0].alias("bean"), chosen[1].alias("conditional"))))
-    primary = F.coalesce("is_primary", F.lit(False))
-    named = (F.col("bean") == F.col("qualifier")) | F.coalesce(F.array_contains("qualifiers", F.col("qualifier")), F.lit(False))
-    per = met.groupBy(*key, "qualifier").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(primary).alias("n_primary"), first(named).alias("by_qualifier"), first(F.lit(True)).alias("any"), first(primary).alias("by_primary"), first(F.col("bean") == F.col("parameter")).alias("by_name")
-    )
+        asked, fits = asked.where("consumer IS NOT NULL"), fits.where("bean IS NOT NULL")
+    asked, fits = cut(asked), cut(fits.withColumn("is_primary", F.coalesce("is_primary", F.lit(False))))
+    bean = F.when(F.col("bean").isNotNull(), F.struct("bean", "conditional"))
+    primary = F.when(F.col("is_primary"), bean)
+    stats = fits.groupBy(*by_type).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_primary").alias("n_primary"), F.min(bean).alias("any"), F.max(bean).alias("any_last"), F.min(primary).alias("primary"), F.max(primary).alias("primary_last"))
+    # A bean is found by its own name too; of those with a qualifier the first two by name are enough, as at most one is the consumer.
+    called = fits.where("bean IS NOT NULL").select(*by_type, F.explode(F.array_union(F.coalesce("qualifiers", F.array().cast("array<string>")), F.array("bean"))).alias("qualifier"), "bean", "conditional")
+    place = F.dense_rank().over(Window.partitionBy(*by_type, "qualifier").orderBy("bean"))
+    of_place = lambda i: F.min(F.when(F.col("place") == i, F.struct("bean", "conditional")))
+    qualified = called.where("qualifier IS NOT NULL").withColumn("place", place).where("place <= 2").groupBy(*by_type, "qualifier").agg(of_place(1).alias("q1"), of_place(2).alias("q2"))
+    own = fits.groupBy(*by_type, F.col("bean").alias("consumer" if factories else "parameter")).agg(F.count(F.lit(1)).alias("n_own"), F.count_if("is_primary").alias("n_own_primary"), F.min(bean).alias("own"))
+    each = asked.join(stats, by_type).join(qualified, [*by_type, "qualifier"], "left").join(own, [*by_type, "consumer" if factories else "parameter"], "left")
+    # The only bean besides the consumer is the first or the last one.
+    other = lambda *found: F.coalesce(*(F.when(F.col(c)["bean"] != F.col("consumer"), F.col(c)) for c in found)) if factories else F.col(found[0])
+    less = lambda n, own: F.col(n) - F.coalesce(own, F.lit(0)) if factories else F.col(n)
+    per = each.groupBy(*key, "qualifier").agg(
+        F.sum(less("n", "n_own")).alias("n"), F.sum(less("n_primary", "n_own_primary")).alias("n_primary"), F.min(other("q1", "q2")).alias("by_qualifier"), F.min(other("any", "any_last")).alias("any"), F.min(other("primary", "primary_last")).alias("by_primary"), F.min("own").alias("by_name")
+    ).where("n > 0")
     rules = [("UNIQUE_CANDIDATE", F.col("n") == 1, "any"), ("PRIMARY", F.col("n_primary") == 1, "by_primary")] + ([] if factories else [("INJECTION_POINT_NAME", F.col("n_primary") == 0, "by_name")])
     of = lambda value: functools.reduce(lambda w, r: w.when(r[1] & F.col(r[2]).isNotNull(), value(r)), rules, F.when(F.col("qualifier").isNotNull(), value(("QUALIFIER", None, "by_qualifier"))))
     reason = of(lambda r: F.lit("FACTORY_PARAMETER" if factories and r[0] != "QUALIFIER" else r[0]))
-    selected = cut(per.select(*key, of(lambda r: F.col(r[2])).alias("s"), reason.alias("reason"), "n")).where("s IS NOT NULL")
+    chosen = cut(per.select(*key, of(lambda r: F.col(r[2])).alias("s"), reason.alias("reason"), "n"))
+    selected = chosen.where("s IS NOT NULL")
     sure = F.lit("FRAMEWORK_RESOLVED")
     confidence = sure if factories else F.when(F.col("s.conditional"), "STATIC_INFERRED").otherwise(sure)
     edge = lambda source, target, kind, confidence, reason: (F.col("project"), F.col(source).alias("source"), F.col(target).alias("target"), F.lit(kind).alias("kind"), confidence.alias("confidence"), reason.alias("reason"))
     none = F.lit(None).cast("string")
-    candidates = met.join(per.select(*key, "n"), key).select(*edge("point", "bean", "BEAN_CANDIDATE", F.when(F.col("n") > 1, "AMBIGUOUS").otherwise(sure), none))
+    sought = asked.join(chosen.select(*key, "n"), key).select("project", "point", "required", F.col("consumer" if factories else "project").alias("but"), F.when(F.col("n") > 1, "AMBIGUOUS").otherwise(sure).alias("certainty")).distinct()
+    pairs = _pairs(sought, fits.select(*by_type, "bean").distinct(), factories)
+    candidates = pairs.select(*edge("point", "bean", "BEAN_CANDIDATE", F.col("certainty"), none))
     consumers = selected if factories else selected.join(beans.select("project", F.col("type").alias("consumer")).distinct(), ["project", "consumer"], "left_semi")
-    return candidates.unionByName(selected.select(*edge("point", "s.bean", "SELECTED_BEAN", confidence, F.col("reason")))).unionByName(consumers.select(*edge("consumer", "s.bean", "INJECTS", confidence, none))).distinct()
+    rest = selected.select(*edge("point", "s.bean", "SELECTED_BEAN", confidence, F.col("reason"))).unionByName(consumers.select(*edge("consumer", "s.bean", "INJECTS", confidence, none)))
+    return candidates.unionByName(rest.distinct())
+
+
+#: Pairs that a task makes at once, about.
+PAIRS_AT_ONCE = 1 << 24
+
+
+def _pairs(sought: DataFrame, fits: DataFrame, excluding: bool) -> DataFrame:
+    """(project, point, certainty, bean): distinct rows of sought (project, point, required, but, certainty) with fits (project, required, bean).
+
+    excluding leaves out the bean named but. Both sides of a required type are cut into slices of points, each with all
+    its beans, by the number of pairs. Only points with several rows can have a pair twice.
+    """
+    key = ["project", "required"]
+    sought = cut(sought.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("project", "point", "certainty"))))
+    sizes = sought.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(fits.groupBy(*key).agg(F.count(F.lit(1)).alias("m")), key)
+    sizes = cut(sizes.select(*key, F.least("n", F.ceil(F.col("n") * F.col("m") / PAIRS_AT_ONCE)).cast("int").alias("slices")))
+    session = sought.sparkSession
+    wanted = sizes.agg(F.sum("slices")).head()[0] or 1
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), min(wanted, 10_000))
+    left = sought.join(sizes, key).withColumn("slice", F.pmod(F.xxhash64("point", "but", "certainty"), F.col("slices")).cast("int")).drop("slices").repartition(parts, *key, "slice")
+    right = fits.join(sizes, key).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices").repartition(parts, *key, "slice")
+    met = left.join(right, [*key, "slice"])
+    if excluding:
+        met = met.where("bean <> but")
+    wide = ["project", "point", "certainty", "bean"]
+    return met.where("rows = 1").select(*wide).unionByName(met.where("rows > 1").select(*wide).distinct())
 
 
 def _last(values: Column) -> Column:

@@ -76,6 +76,38 @@ def test_injections_of_factories(given):
     assert got == sorted([("f1", "b", "SELECTED_BEAN", sure, "FACTORY_PARAMETER"), ("a", "b", "INJECTS", sure, None), ("f2", "k", "SELECTED_BEAN", sure, "QUALIFIER"), ("l", "k", "INJECTS", sure, None)], key=repr)
 
 
+def shuffled(spark):
+    """Rows written for shuffles so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("factories", [True])
+def test_pairs_of_injections_are_not_shuffled(spark, given, factories):
+    many = spark.range(400).selectExpr("'p' AS project", "'b' || id AS bean", "'b' || id AS type", "array('I') AS assignable", "array('q' || id % 3) AS qualifiers", "id = 7 AS is_primary", "false AS conditional")
+    points = spark.range(300).selectExpr("'p' AS project", "'b' || id AS consumer", "'c' || id AS point", "'b9' AS parameter", "'I' AS required", "CASE WHEN id < 3 THEN 'q' || id END AS qualifier")
+    before = shuffled(spark)
+    got = beans.injections(points, many, factories).groupBy("kind").count().collect()
+    assert shuffled(spark) - before < 20_000
+    assert {r["kind"]: r["count"] for r in got} == {"BEAN_CANDIDATE": 300 * (399 if factories else 400), "SELECTED_BEAN": 299 if factories else 300, "INJECTS": 299 if factories else 300}
+
+
+@pytest.mark.parametrize("factories", [True])
+def test_repeated_points_in_slices(given, monkeypatch, factories):
+    monkeypatch.setattr(beans, "PAIRS_AT_ONCE", 1)
+    points, all_beans = given
+    twice = [("p", "a", "c1", "x", "I", None), ("p", "b", "c1", "x", "I", None), ("p", "a", "c2", "x", "A", None), ("p", "a", "c2", "x", "I", None), ("p", "k", "c3", "k", "K", "both"), (None, "a", "c4", "x", "I", None), ("p", "a", None, "x", "K", None)]
+    got = rows(beans.injections(points([*twice, twice[0]]), all_beans, factories).where("kind <> 'INJECTS'").select("source", "target", "kind", "confidence", "reason"))
+    sure, several = "FRAMEWORK_RESOLVED", "AMBIGUOUS"
+    if factories:
+        want = [("c1", "a", "BEAN_CANDIDATE", sure, None), ("c1", "b", "BEAN_CANDIDATE", sure, None), ("c1", "a", "SELECTED_BEAN", sure, "FACTORY_PARAMETER"), ("c1", "b", "SELECTED_BEAN", sure, "FACTORY_PARAMETER"), ("c2", "b", "BEAN_CANDIDATE", sure, None), ("c2", "b", "SELECTED_BEAN", sure, "FACTORY_PARAMETER"), ("c3", "l", "BEAN_CANDIDATE", sure, None), ("c3", "l", "SELECTED_BEAN", sure, "QUALIFIER")]
+    else:
+        want = [(c, b, "BEAN_CANDIDATE", several, None) for c, b in (("c1", "a"), ("c1", "b"), ("c2", "a"), ("c2", "b"), ("c3", "k"), ("c3", "l"))] + [("c1", "a", "SELECTED_BEAN", sure, "PRIMARY"), ("c3", "k", "SELECTED_BEAN", sure, "QUALIFIER")]
+    assert got == sorted(want, key=repr)
+
+
 def test_bindings_components_and_bodies(spark):
     annotation = "array<struct<annotation: string, name: string, value: string, required: boolean>>"
     parameters = spark.createDataFrame([(1, "x", None, None), (2, "x", True, [("RequestParam", "", "q", None), (None, None, None, None), ("Size", None, None, True)]), (3, None, True, [])], f"id int, name string, optional boolean, annotations {annotation}")
