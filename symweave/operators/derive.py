@@ -41,16 +41,22 @@ def selected_candidates(points: DataFrame, candidates: DataFrame) -> DataFrame:
     point whose required type is among its assignable ones. A qualifier decides alone, the first bean by name if several
     have it; else the only candidate, the
     only primary one, or the one named like the parameter. reason is the rule, or why none applies: unresolved
-    qualifier, none, several primaries, ambiguous.
+    qualifier, none, several primaries, ambiguous. Candidates are summed up for each required type, and for each type
+    with a qualifier or name, so no point is paired with all beans that fit it. Repeated rows count once.
     """
-    fits = candidates.select("bean", "qualifiers", "is_primary", F.explode(F.array_distinct("assignable")).alias("required"))
-    met = points.join(fits, "required", "left").withColumn("fits_qualifier", F.coalesce(F.array_contains("qualifiers", F.col("qualifier")) | (F.col("bean") == F.col("qualifier")), F.lit(False)))
-    one = lambda condition: F.when(F.count_if(condition) == 1, F.max(F.when(condition, F.col("bean"))))
-    real = F.col("bean").isNotNull()
-    primary = real & F.coalesce("is_primary", F.lit(False))
+    fits = candidates.where("bean IS NOT NULL").select("bean", "qualifiers", "is_primary", F.explode(F.array_distinct("assignable")).alias("required")).distinct()
+    primary, bean = F.coalesce("is_primary", F.lit(False)), F.col("bean")
+    stats = fits.groupBy("required").agg(F.count(F.lit(1)).alias("n"), F.count_if(primary).alias("n_primary"), F.max("bean").alias("any"), F.max(F.when(primary, bean)).alias("any_primary"))
+    # A bean is found by its own name as by a qualifier.
+    called = fits.select("required", F.explode(F.array_union(F.coalesce("qualifiers", F.array().cast("array<string>")), F.array("bean"))).alias("qualifier"), "bean")
+    qualified = called.groupBy("required", "qualifier").agg(F.min("bean").alias("qualified"))
+    named = fits.groupBy("required", bean.alias("name")).agg(F.count(F.lit(1)).alias("n_named"))
+    met = points.select("point_id", "required", "qualifier", "name").distinct().join(stats, "required", "left").join(qualified, ["required", "qualifier"], "left").join(named, ["required", "name"], "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = lambda count, value: F.when(total(count) == 1, F.max(value))
     per = met.groupBy("point_id").agg(
-        F.first("qualifier").alias("qualifier"), F.count_if(real).alias("n_candidates"), F.count_if(primary).alias("n_primary"),
-        F.min(F.when(real & F.col("fits_qualifier"), F.col("bean"))).alias("by_qualifier"), one(real).alias("by_type"), one(primary).alias("by_primary"), one(real & (F.col("bean") == F.col("name"))).alias("by_name"),
+        F.first("qualifier").alias("qualifier"), total("n").alias("n_candidates"), total("n_primary").alias("n_primary"),
+        F.min("qualified").alias("by_qualifier"), one("n", "any").alias("by_type"), one("n_primary", "any_primary").alias("by_primary"), one("n_named", F.when(F.col("n_named") > 0, F.col("name"))).alias("by_name"),
     )
     asked = F.col("qualifier").isNotNull()
     selected = F.when(asked, F.col("by_qualifier")).otherwise(F.coalesce("by_type", "by_primary", F.when(F.col("n_primary") == 0, F.col("by_name"))))

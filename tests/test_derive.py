@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from symweave.operators import derive, sessions, symbols
@@ -22,6 +24,28 @@ def test_candidates(spark):
     }
 
 
+def most_rows(plan) -> int:
+    """The most rows that an operator of an executed plan gave."""
+    rows = plan.metrics().get("numOutputRows")
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return max([rows.get().value() if rows.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_candidates_are_not_paired(spark):
+    beans = spark.range(500).selectExpr("'b' || id AS bean", "array('I') AS assignable", "array('q' || id % 10) AS qualifiers", "false AS is_primary")
+    points = spark.range(500).selectExpr("id AS point_id", "'I' AS required", "CASE WHEN id % 2 = 0 THEN 'q' || id % 10 END AS qualifier", "'b' || id * 2 AS name")
+    found = derive.selected_candidates(points, beans)
+    assert Counter((r.n_candidates, r.reason, r.selected is None) for r in found.collect()) == {(500, "qualifier", False): 250, (500, "name", False): 125, (500, "ambiguous", True): 125}
+    assert most_rows(found._jdf.queryExecution().executedPlan()) < 10_000
+
+
+def test_repeated_candidates_count_once(spark):
+    beans = spark.createDataFrame([("a", ["I", "I"], None, True), ("a", ["I"], None, True), (None, ["I"], ["q"], True)], "bean string, assignable array<string>, qualifiers array<string>, is_primary boolean")
+    points = spark.createDataFrame([(1, "I", None, "x"), (1, "I", None, "x"), (2, "I", "q", "x"), (3, None, None, None)], "point_id int, required string, qualifier string, name string")
+    assert sorted(tuple(r) for r in derive.selected_candidates(points, beans).collect()) == [(1, 1, "a", "only candidate"), (2, 1, None, "unresolved qualifier"), (3, 0, None, "none")]
+
+
 def test_queries_types_and_conditions(spark):
     named = [(m, None, None) for m in ("findByNameAndAgeGreaterThanOrderByAgeDesc", "findTop3ByName", "countByWrong", "save", "findAll", "existsByNameOr", "getByOrderByName", "readByAndName", "deleteByAnd")]
     methods = spark.createDataFrame([("R", *m) for m in [*named, ("find", "select x", True), ("byWhat", "", None)]] + [("S", "findByName", None, None), ("R", None, None, None)], "repository string, method string, query string, modifying boolean")
