@@ -84,7 +84,7 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("factories", [True])
+@pytest.mark.parametrize("factories", [True, False])
 def test_pairs_of_injections_are_not_shuffled(spark, given, factories):
     many = spark.range(400).selectExpr("'p' AS project", "'b' || id AS bean", "'b' || id AS type", "array('I') AS assignable", "array('q' || id % 3) AS qualifiers", "id = 7 AS is_primary", "false AS conditional")
     points = spark.range(300).selectExpr("'p' AS project", "'b' || id AS consumer", "'c' || id AS point", "'b9' AS parameter", "'I' AS required", "CASE WHEN id < 3 THEN 'q' || id END AS qualifier")
@@ -94,7 +94,7 @@ def test_pairs_of_injections_are_not_shuffled(spark, given, factories):
     assert {r["kind"]: r["count"] for r in got} == {"BEAN_CANDIDATE": 300 * (399 if factories else 400), "SELECTED_BEAN": 299 if factories else 300, "INJECTS": 299 if factories else 300}
 
 
-@pytest.mark.parametrize("factories", [True])
+@pytest.mark.parametrize("factories", [True, False])
 def test_repeated_points_in_slices(given, monkeypatch, factories):
     monkeypatch.setattr(beans, "PAIRS_AT_ONCE", 1)
     points, all_beans = given
