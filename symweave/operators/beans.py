@@ -163,28 +163,36 @@ def injections(points: DataFrame, beans: DataFrame, factories: bool = False) ->
 
 #: Pairs that a task makes at once, about.
 PAIRS_AT_ONCE = 1 << 24
+#: Points that are joined as one row, about.
+POINTS_AT_ONCE = 128
 
 
 def _pairs(sought: DataFrame, fits: DataFrame, excluding: bool) -> DataFrame:
     """(project, point, certainty, bean): distinct rows of sought (project, point, required, but, certainty) with fits (project, required, bean).
 
     excluding leaves out the bean named but. Both sides of a required type are cut into slices of points, each with all
-    its beans, by the number of pairs. Only points with several rows can have a pair twice.
+    its beans, by the number of pairs. Points are joined in blocks and taken apart last, so a bean comes with all points
+    of a block in turn: such rows are quickly made and take little space. Only points with several rows can have a pair
+    twice.
     """
     key = ["project", "required"]
     sought = cut(sought.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("project", "point", "certainty"))))
     sizes = sought.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).join(fits.groupBy(*key).agg(F.count(F.lit(1)).alias("m")), key)
-    sizes = cut(sizes.select(*key, F.least("n", F.ceil(F.col("n") * F.col("m") / PAIRS_AT_ONCE)).cast("int").alias("slices")))
+    slices = F.least("n", F.ceil(F.col("n") * F.col("m") / PAIRS_AT_ONCE)).cast("int")
+    sizes = cut(sizes.select(*key, slices.alias("slices"), F.greatest(slices, F.ceil(F.col("n") / POINTS_AT_ONCE).cast("int")).alias("blocks")))
     session = sought.sparkSession
     wanted = sizes.agg(F.sum("slices")).head()[0] or 1
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), min(wanted, 10_000))
-    left = sought.join(sizes, key).withColumn("slice", F.pmod(F.xxhash64("point", "but", "certainty"), F.col("slices")).cast("int")).drop("slices").repartition(parts, *key, "slice")
-    right = fits.join(sizes, key).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices").repartition(parts, *key, "slice")
-    met = left.join(right, [*key, "slice"])
+    placed = sought.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("point", "but", "certainty"), F.col("blocks")).cast("int"))
+    several = F.col("rows") > 1
+    blocks = placed.groupBy(*key, "certainty", several.alias("several"), "block", F.pmod("block", "slices").alias("slice")).agg(F.collect_list(F.struct("point", "but")).alias("points")).drop("block")
+    left = blocks.repartition(parts, *key, "slice")
+    right = fits.join(sizes, key).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices", "blocks").repartition(parts, *key, "slice")
+    met = left.join(right, [*key, "slice"]).select("project", "certainty", "bean", "several", F.explode("points").alias("p"))
     if excluding:
-        met = met.where("bean <> but")
-    wide = ["project", "point", "certainty", "bean"]
-    return met.where("rows = 1").select(*wide).unionByName(met.where("rows > 1").select(*wide).distinct())
+        met = met.where("bean <> p.but")
+    wide = met.select("project", F.col("p.point").alias("point"), "certainty", "bean", "several")
+    return wide.where("NOT several").drop("several").unionByName(wide.where("several").drop("several").distinct())
 
 
 def _last(values: Column) -> Column:

@@ -94,6 +94,20 @@ def test_pairs_of_injections_are_not_shuffled(spark, given, factories):
     assert {r["kind"]: r["count"] for r in got} == {"BEAN_CANDIDATE": 300 * (399 if factories else 400), "SELECTED_BEAN": 299 if factories else 300, "INJECTS": 299 if factories else 300}
 
 
+@pytest.mark.parametrize("factories", [True, False])
+def test_pairs_of_injections_take_little_space(spark, given, tmp_path, factories):
+    many = spark.range(4801).selectExpr("'p' AS project", "'b' || id AS bean", "'b' || id AS type", "array('I') AS assignable", "array('q') AS qualifiers", "false AS is_primary", "false AS conditional")
+    points = spark.range(256).selectExpr("'p' AS project", "'b' || id AS consumer", "'c' || id AS point", "'x' AS parameter", "'I' AS required", "CAST(NULL AS STRING) AS qualifier")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables that are too large for it
+    try:
+        beans.injections(points, many, factories).write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert (got.count(), got.distinct().count()) == (256 * (4800 if factories else 4801),) * 2
+    assert sum(f.stat().st_size for f in (tmp_path / "out").rglob("*.parquet")) < 0.6 * 1_200_000
+
+
 @pytest.mark.parametrize("factories", [True, False])
 def test_repeated_points_in_slices(given, monkeypatch, factories):
     monkeypatch.setattr(beans, "PAIRS_AT_ONCE", 1)
